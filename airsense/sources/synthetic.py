@@ -1,0 +1,126 @@
+"""Synthetic readings: one per row of a table of keys.
+
+Every random draw is a hash of the row's key and the drawn column, so a row is the same however
+the table is partitioned and however often a task is repeated.
+"""
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from airsense.functions.domain import calendar
+from airsense.functions.numeric import rnd
+from airsense.schema import LABELS, READING_COLUMNS
+
+# ---- fixed values ----
+STATIONS = (
+    "STN_URBAN_01", "STN_URBAN_02", "STN_SUBURB_01", "STN_SUBURB_02",
+    "STN_INDUSTRIAL_01", "STN_RURAL_01",
+)
+STATION_TYPES = ("Urban", "Suburban", "Industrial", "Rural")
+SEASON_NAMES = ("Winter", "Spring", "Summer", "Fall")
+LOW_PM10_SHARE = 0.2
+# ---- end of fixed values ----
+
+_RESOLUTION = 2**53
+
+
+class _Draws:
+    """Independent draws per row, told apart by name."""
+
+    def __init__(self, key: Column, seed: int):
+        self.key, self.seed = key, seed
+
+    def uniform(self, name: str, low: float = 0.0, high: float = 1.0) -> Column:
+        bits = F.pmod(F.xxhash64(self.key, F.lit(f"{self.seed}:{name}")), F.lit(_RESOLUTION))
+        return F.lit(low) + (bits + 0.5) / float(_RESOLUTION) * (high - low)
+
+    def normal(self, name: str, mean: float = 0.0, deviation: float = 1.0) -> Column:
+        radius = F.sqrt(-2 * F.log(self.uniform(f"{name}.radius")))
+        angle = 2 * math.pi * self.uniform(f"{name}.angle")
+        return mean + deviation * radius * F.cos(angle)
+
+    def lognormal(self, name: str, mean: float, sigma: float) -> Column:
+        return F.exp(self.normal(name, mean, sigma))
+
+    def exponential(self, name: str, scale: float) -> Column:
+        return -scale * F.log(self.uniform(name))
+
+    def choice(self, name: str, values) -> Column:
+        place = F.floor(self.uniform(name) * len(values)).cast("int") + 1
+        return F.element_at(F.array(*[F.lit(v) for v in values]), place)
+
+    def chance(self, name: str, probability: float) -> Column:
+        return (self.uniform(name) < probability).cast("int")
+
+
+def _clip(value: Column, low: float, high: float | None = None) -> Column:
+    value = F.greatest(value, F.lit(low))
+    return value if high is None else F.least(value, F.lit(high))
+
+
+def synthetic_readings(
+    keys: DataFrame, key: str, seed: int = 42, newest: Column | None = None
+) -> DataFrame:
+    """Contract rows with realistic distributions; about a fifth have PM10 below PM2.5. Row *i*
+    is *i* hours older than ``newest``. ``key`` is a whole number unique per row."""
+    draw = _Draws(F.col(key), seed)
+    newest = F.current_timestamp() if newest is None else newest
+    pm25 = rnd(draw.lognormal("pm25", 2.5, 0.8), 1)
+    raw = keys.select(
+        F.col(key),
+        pm25.alias("pm25"),
+        F.timestamp_seconds(F.unix_timestamp(newest) - F.col(key) * 3600).alias("timestamp"),
+    )
+    columns = {
+        "reading_id": F.format_string("SYN%06d", key),
+        "station_id": draw.choice("station_id", STATIONS),
+        "station_type": draw.choice("station_type", STATION_TYPES),
+        "elevation_m": rnd(draw.uniform("elevation_m", 10, 320), 1),
+        "near_highway": draw.chance("near_highway", 0.3),
+        "near_industry": draw.chance("near_industry", 0.2),
+        "temp_c": rnd(draw.uniform("temp_c", -5, 35), 1),
+        "humidity_pct": rnd(draw.uniform("humidity_pct", 30, 95), 1),
+        "wind_speed_ms": rnd(draw.exponential("wind_speed_ms", 3), 1),
+        "wind_dir_deg": rnd(draw.uniform("wind_dir_deg", 0, 360), 1),
+        "pressure_hpa": rnd(draw.uniform("pressure_hpa", 990, 1030), 1),
+        "precipitation_mm": rnd(draw.exponential("precipitation_mm", 1), 1),
+        "visibility_km": rnd(_clip(draw.exponential("visibility_km", 5), 0.5, 50.0), 1),
+        "temp_inversion": draw.chance("temp_inversion", 0.15),
+        "pm10": F.when(
+            draw.uniform("pm10.low") < LOW_PM10_SHARE, F.col("pm25") * 0.8
+        ).otherwise(rnd(_clip(F.col("pm25") * 1.5 + draw.normal("pm10", 0, 10), 0.0), 1)),
+        "no2": rnd(draw.lognormal("no2", 3.8, 0.7), 1),
+        "o3": rnd(draw.lognormal("o3", 3.5, 0.9), 1),
+        "so2": rnd(draw.lognormal("so2", 2.0, 1.0), 1),
+        "co": rnd(draw.exponential("co", 1.2), 2),
+        "benzene": rnd(_clip(draw.exponential("benzene", 0.5), 0.0, 10.0), 2),
+        "aqi": rnd(_clip(F.col("pm25") * 3 + draw.normal("aqi", 0, 15), 0.0, 500.0), 0).cast("int"),
+        **calendar(F.col("timestamp")),
+        **{label: F.lit(None).cast("int") for label in LABELS},
+    }
+    return raw.withColumns(columns).select(*READING_COLUMNS)
+
+
+def synthetic_form_rows(keys: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """The eight fields a batch form asks for."""
+    draw = _Draws(F.col(key), seed)
+    raw = keys.select(F.col(key), draw.lognormal("pm25", 2.5, 0.8).alias("exact"))
+    exact = F.col("exact")
+    low = draw.uniform("pm10.low") < LOW_PM10_SHARE
+    pm10 = F.when(low, exact * 0.8).otherwise(_clip(exact * 1.5 + draw.normal("pm10", 0, 10), 0.0))
+    return raw.select(
+        rnd(exact, 1).alias("pm25"),
+        rnd(pm10, 1).alias("pm10"),
+        _clip(F.floor(exact * 3 + draw.normal("aqi", 0, 15)), 0).cast("int").alias("aqi"),
+        rnd(draw.uniform("temp_c", -5, 35), 1).alias("temp_c"),
+        rnd(draw.uniform("humidity_pct", 30, 95), 1).alias("humidity_pct"),
+        rnd(draw.exponential("wind_speed_ms", 3), 1).alias("wind_speed_ms"),
+        draw.choice("season", SEASON_NAMES).alias("season"),
+        draw.choice("station_type", STATION_TYPES).alias("station_type"),
+    )
+
+
+def numbered_rows(spark: SparkSession, rows: int) -> DataFrame:
+    return spark.range(rows).withColumnRenamed("id", "row_number")
