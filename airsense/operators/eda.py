@@ -76,14 +76,9 @@ def pollutant_quartiles(df: DataFrame, pollutants: Sequence[str] = POLLUTANTS) -
         .withColumnRenamed("column_name", "pollutant"),
         "pollutant-quartiles",
     )
-    long = kept.select(
-        "station_type",
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(p).alias("pollutant"), F.col(p).alias("value")) for p in pollutants]
-            )
-        ),
-    ).where("value is not null")
+    long = kept.unpivot(["station_type"], list(pollutants), "pollutant", "value").where(
+        "value is not null"
+    )
     reach = WHISKER_REACH * (F.col("q75") - F.col("q25"))
     inside = F.col("value").between(F.col("q25") - reach, F.col("q75") + reach)
     return (

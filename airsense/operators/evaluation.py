@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from airsense.functions.numeric import flag, rnd, total
 from airsense.operators.ordered import ROWS_PER_CHUNK, cut_points, order_key, rows_at
-from airsense.operators.quantiles import exact_quantiles
+from airsense.operators.quantiles import exact_quantiles, long_values
 from airsense.schema import ALERTS, LABELS, PROBS
+from airsense.sources.stored import as_lookup
 
 # ---- fixed values ----
 TEST_SHARE = 0.2
@@ -278,32 +279,22 @@ def headline_metrics(metrics: DataFrame, model: str) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, median, mean, scale`` with mean and population deviation after filling nulls
-    by the median; a constant column gets scale 1."""
-    medians = {
-        r["column_name"]: r["quantile"] for r in exact_quantiles(df, (), columns, (0.5,)).collect()
-    }
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians.get(c, 0.0))) for c in columns}
-    measured = df.agg(
-        *[
-            F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("scale")).alias(c)
-            for c, v in filled.items()
-        ]
+    by the median; a constant column gets scale 1. A column without any value counts as 0."""
+    medians = exact_quantiles(df, (), columns, (0.5,)).select(
+        "column_name", F.col("quantile").alias("median")
     )
-    return measured.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column_name"),
-                        F.lit(medians.get(c, 0.0)).alias("median"),
-                        F.col(f"{c}.mean").alias("mean"),
-                        F.when(F.col(f"{c}.scale") > 0, F.col(f"{c}.scale"))
-                        .otherwise(F.lit(1.0))
-                        .alias("scale"),
-                    )
-                    for c in columns
-                ]
-            )
+    known = as_lookup(medians, "column-medians")
+    filled = long_values(df, (), columns).join(known.side(), "column_name", "left")
+    median = F.coalesce("median", F.lit(0.0))
+    value = F.coalesce(F.col("value"), median)
+    return (
+        filled.groupBy("column_name", median.alias("median"))
+        .agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+        .select(
+            "column_name",
+            "median",
+            "mean",
+            F.when(F.col("deviation") > 0, F.col("deviation")).otherwise(F.lit(1.0)).alias("scale"),
         )
     )
 
@@ -311,16 +302,8 @@ def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, value, rows``: the most frequent value; the smallest one among equals."""
     counts = (
-        df.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"))
-                        for c in columns
-                    ]
-                )
-            )
-        )
+        df.select(*columns)
+        .unpivot([], list(columns), "column_name", "value")
         .where("value is not null")
         .groupBy("column_name", "value")
         .agg(F.count("*").alias("rows"))

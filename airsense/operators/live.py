@@ -52,7 +52,11 @@ def _keys(records: Column) -> Column:
 def parse_payloads(df: DataFrame, text: str = "payload") -> DataFrame:
     """Add ``records`` and ``error``. A payload is one JSON object or a list of them; it is
     rejected as a whole when no record of it carries some required field."""
-    parsed = df.withColumn("records", F.from_json(F.col(text), RECORDS))
+    trimmed = F.btrim(F.col(text))
+    listed = F.when(trimmed.startswith("["), trimmed).otherwise(
+        F.concat(F.lit("["), trimmed, F.lit("]"))
+    )
+    parsed = df.withColumn("records", F.from_json(listed, RECORDS))
     missing = F.array_except(
         F.array(*[F.lit(c) for c in LIVE_REQUIRED_COLUMNS]), _keys(F.col("records"))
     )
@@ -68,16 +72,29 @@ def parse_payloads(df: DataFrame, text: str = "payload") -> DataFrame:
     )
 
 
+def _accepted(parsed: DataFrame, *kept: str, position: str) -> DataFrame:
+    """One row per record of the accepted payloads.
+
+    The outer explode keeps the verdict next to the parsed records: a filter on ``error`` would be
+    pushed below the parsing and repeat it for every mention.
+    """
+    records = F.when(F.col("error").isNull(), F.col("records"))
+    return parsed.select(
+        *kept, F.posexplode_outer(records).alias(position, "record")
+    ).where("record is not null")
+
+
 def rejected_payloads(parsed: DataFrame) -> DataFrame:
-    return parsed.where("error is not null").drop("records")
+    kept = [c for c in parsed.columns if c not in ("records", "error")]
+    reasons = F.explode_outer(F.array("error")).alias("error")
+    return parsed.select(*kept, reasons).where("error is not null")
 
 
 def payload_rows(parsed: DataFrame) -> DataFrame:
     """One row per record of the accepted payloads, base fields as text, plus its position."""
     kept = [c for c in parsed.columns if c not in ("records", "error", "payload")]
     return (
-        parsed.where("error is null")
-        .select(*kept, F.posexplode("records").alias("payload_position", "record"))
+        _accepted(parsed, *kept, position="payload_position")
         .select(
             *kept,
             "payload_position",
@@ -142,10 +159,9 @@ def prepare_batch_rows(parsed: DataFrame, now: Column | None = None) -> DataFram
     now = F.current_timestamp() if now is None else now
     kept = [c for c in parsed.columns if c not in ("records", "error", "payload")]
     fields = [*LIVE_BASE_COLUMNS, "season"]
-    exploded = (
-        parsed.where("error is null")
-        .withColumn("has_wind", F.array_contains(_keys(F.col("records")), "wind_dir_deg"))
-        .select(*kept, "has_wind", F.posexplode("records").alias("position", "record"))
+    has_wind = F.array_contains(_keys(F.col("records")), "wind_dir_deg")
+    exploded = _accepted(
+        parsed.withColumn("has_wind", has_wind), *kept, "has_wind", position="position"
     )
     values = {name: F.try_element_at("record", F.lit(name)) for name in fields}
     columns = []

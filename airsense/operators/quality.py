@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from airsense.functions.domain import aqi_from_pm25
 from airsense.functions.numeric import flag, rnd
-from airsense.operators.quantiles import exact_quantiles
+from airsense.operators.quantiles import exact_quantiles, long_values
 
 # ---- fixed values ----
 EXTREME_GAS = 200
@@ -168,25 +168,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of the numeric columns."""
     columns = list(columns or numeric_columns(df))
-    measured = df.agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
-        ]
-    )
-    basics = _long(
-        measured,
-        [
-            [("column_name", F.lit(c)), ("count", F.col(f"{c}.n"))]
-            + [(m, F.col(f"{c}.{m}")) for m in ("mean", "std", "min", "max")]
-            for c in columns
-        ],
+    basics = (
+        long_values(df, (), columns)
+        .groupBy("column_name")
+        .agg(
+            F.count("value").alias("count"),
+            F.avg("value").alias("mean"),
+            F.stddev_samp("value").alias("std"),
+            F.min("value").alias("min"),
+            F.max("value").alias("max"),
+        )
     )
     quartiles = (
         exact_quantiles(df, (), columns, QUARTILES)

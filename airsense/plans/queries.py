@@ -251,6 +251,17 @@ def payloads(rows: DataFrame) -> DataFrame:
     )
 
 
+def land_payloads(spark, sf_dir) -> str:
+    """The payload texts as they would arrive: a landing folder."""
+    path = new_path(spark, "payloads")
+    payloads(readings(spark, sf_dir)).write.parquet(path)
+    return path
+
+
+def landed_payloads(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(land_payloads(spark, sf_dir))
+
+
 def masked_id():
     """Generated ids differ on every run; what can be compared is their form."""
     generated = F.col("reading_id").rlike("^LIVE-[0-9]{14}-[0-9a-f]{8}$")
@@ -259,7 +270,7 @@ def masked_id():
 
 @query
 def live_normalise(spark, sf_dir):
-    parsed = live.parse_payloads(payloads(readings(spark, sf_dir)))
+    parsed = live.parse_payloads(landed_payloads(spark, sf_dir))
     return live.prepare_live_readings(live.payload_rows(parsed), now()).withColumn(
         "reading_id", masked_id()
     )
@@ -267,7 +278,7 @@ def live_normalise(spark, sf_dir):
 
 @query
 def live_reject(spark, sf_dir):
-    parsed = live.parse_payloads(payloads(readings(spark, sf_dir)))
+    parsed = live.parse_payloads(landed_payloads(spark, sf_dir))
     return live.rejected_payloads(parsed).select("source", "error")
 
 
@@ -673,7 +684,8 @@ def stream_ingest(spark, sf_dir):
     def score(rows: DataFrame) -> DataFrame:
         return add_fixture_scores(clean.clean_rows(rows))
 
-    stream = payloads(readings_from_events(event_stream(spark, sf_dir)))
+    landed = land_payloads(spark, sf_dir)
+    stream = spark.readStream.schema("source string, payload string").parquet(landed)
     running = ingest.start_ingest(stream, folder, score, "source", {"availableNow": True})
     running.awaitTermination()
     state = ingest.current(spark, folder, ingest.PREDICTIONS, "source")

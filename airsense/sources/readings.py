@@ -42,5 +42,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=())
     """Replace the table at ``path``."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(
+            header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        )
     writer.partitionBy(*partition_by).save(path)
