@@ -1,5 +1,8 @@
 """Live path: JSON payloads to contract rows, with a reason for everything that is rejected."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,32 +45,41 @@ NO_ROWS = "No rows provided"
 # ---- end of fixed values ----
 
 UNREADABLE = "Payload is not a JSON object or a list of objects."
-RECORDS = "array<map<string,string>>"
+FIELDS = (*LIVE_BASE_COLUMNS, "season")
+RECORDS = f"array<struct<{','.join(f'`{name}`:string' for name in FIELDS)}>>"
 
 
-def _keys(records: Column) -> Column:
+def _keys(text: Column) -> Column:
+    """Field names any record of the list carries, also those holding null."""
+    records = F.from_json(text, "array<map<string,string>>")
     return F.array_distinct(F.flatten(F.transform(records, F.map_keys)))
 
 
 def parse_payloads(df: DataFrame, text: str = "payload") -> DataFrame:
     """Add ``records`` and ``error``. A payload is one JSON object or a list of them; it is
-    rejected as a whole when no record of it carries some required field."""
+    rejected as a whole when no record of it carries some required field.
+
+    A record with every required field filled settles that at once; only otherwise are the field
+    names themselves read.
+    """
     trimmed = F.btrim(F.col(text))
     listed = F.when(trimmed.startswith("["), trimmed).otherwise(
         F.concat(F.lit("["), trimmed, F.lit("]"))
     )
     parsed = df.withColumn("records", F.from_json(listed, RECORDS))
-    missing = F.array_except(
-        F.array(*[F.lit(c) for c in LIVE_REQUIRED_COLUMNS]), _keys(F.col("records"))
-    )
     unreadable = F.col("records").isNull() | F.exists("records", lambda r: r.isNull())
+    filled = F.exists(
+        "records", lambda r: reduce(and_, [r[c].isNotNull() for c in LIVE_REQUIRED_COLUMNS])
+    )
+    required = F.array(*[F.lit(c) for c in LIVE_REQUIRED_COLUMNS])
+    missing = F.array_join(F.array_except(required, _keys(listed)), ", ")
     return parsed.withColumn(
         "error",
         F.when(unreadable, F.lit(UNREADABLE))
         .when(F.size("records") == 0, F.lit(NO_READING))
         .when(
-            F.size(missing) > 0,
-            F.concat(F.lit("Missing required fields: "), F.array_join(missing, ", ")),
+            ~filled,
+            F.concat(F.lit("Missing required fields: "), F.nullif(missing, F.lit(""))),
         ),
     )
 
@@ -98,7 +110,7 @@ def payload_rows(parsed: DataFrame) -> DataFrame:
         .select(
             *kept,
             "payload_position",
-            *[F.try_element_at("record", F.lit(c)).alias(c) for c in LIVE_BASE_COLUMNS],
+            *[F.col(f"record.{c}").alias(c) for c in LIVE_BASE_COLUMNS],
         )
     )
 
@@ -142,8 +154,11 @@ def prepare_live_readings(df: DataFrame, now: Column | None = None) -> DataFrame
 
 def parse_batch_requests(df: DataFrame, limit: int = MAX_ROWS_PER_REQUEST) -> DataFrame:
     """Requests ``{"rows": […]}``: too few or too many rows give an error for the request."""
-    rows = F.from_json(F.get_json_object("payload", "$.rows"), RECORDS)
-    return df.withColumn("records", rows).withColumn(
+    listed = F.get_json_object("payload", "$.rows")
+    parsed = df.withColumn("records", F.from_json(listed, RECORDS))
+    sent = F.exists("records", lambda r: r["wind_dir_deg"].isNotNull())
+    named = F.array_contains(_keys(listed), "wind_dir_deg")
+    return parsed.withColumn("has_wind", F.when(sent, F.lit(True)).otherwise(named)).withColumn(
         "error",
         F.when(F.coalesce(F.size("records"), F.lit(0)) <= 0, F.lit(NO_ROWS)).when(
             F.size("records") > limit, F.lit(f"Batch limit is {limit} rows")
@@ -157,13 +172,9 @@ def prepare_batch_rows(parsed: DataFrame, now: Column | None = None) -> DataFram
     The wind default applies when no row of the request has the field; season is what was sent.
     """
     now = F.current_timestamp() if now is None else now
-    kept = [c for c in parsed.columns if c not in ("records", "error", "payload")]
-    fields = [*LIVE_BASE_COLUMNS, "season"]
-    has_wind = F.array_contains(_keys(F.col("records")), "wind_dir_deg")
-    exploded = _accepted(
-        parsed.withColumn("has_wind", has_wind), *kept, "has_wind", position="position"
-    )
-    values = {name: F.try_element_at("record", F.lit(name)) for name in fields}
+    kept = [c for c in parsed.columns if c not in ("records", "error", "payload", "has_wind")]
+    exploded = _accepted(parsed, *kept, "has_wind", position="position")
+    values = {name: F.col(f"record.{name}") for name in FIELDS}
     columns = []
     for name in READING_COLUMNS:
         wanted = READING_TYPES[name]
