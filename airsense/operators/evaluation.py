@@ -50,11 +50,9 @@ def time_split(
     is sorted or moved, and any number of rows may share a timestamp.
     """
     key = order_key(*SPLIT_ORDER)
-    validation_start, test_start = split_sizes(
-        df.count(), test_share, validation_share, validation_minimum
-    )
-    cuts = cut_points(df, key, rows_per_chunk)
-    bounds = rows_at(df, key, (validation_start, test_start), cuts)
+    rows = df.count()
+    starts = split_sizes(rows, test_share, validation_share, validation_minimum)
+    bounds = rows_at(df, key, starts, cut_points(df, key, rows_per_chunk, rows))
 
     def before(bound) -> Column:
         return F.lit(True) if bound is None else key < _literal_key(bound)

@@ -34,11 +34,11 @@ def _or_absent(df: DataFrame, name: str, present: Column, absent: Column) -> Col
     return present if name in df.columns else absent
 
 
-def build_overview(df: DataFrame) -> DataFrame:
-    """One row of headline figures; a missing column gives 0 or null instead of an error."""
+def _overview_aggregates(df: DataFrame) -> list[Column]:
+    """Headline figures; a missing column gives 0 or null instead of an error."""
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("timestamp")
     zero_rate = F.lit(0.0)
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("readings_scored"),
         _or_absent(df, "station_id", F.count_distinct("station_id"), F.max(zero)).alias(
             "stations_seen"
@@ -55,7 +55,18 @@ def build_overview(df: DataFrame) -> DataFrame:
         _or_absent(df, "max_risk_prob", rnd(F.max("max_risk_prob"), 4), F.max(zero_rate)).alias(
             "max_risk_prob"
         ),
-    )
+    ]
+
+
+OVERVIEW_TIMES = ("latest_timestamp", "latest_scored_at")
+OVERVIEW_COLUMNS = (
+    "readings_scored", "stations_seen", "active_alert_rows", *OVERVIEW_TIMES, "avg_aqi",
+    "avg_total_alerts", "max_risk_prob",
+)
+
+
+def build_overview(df: DataFrame) -> DataFrame:
+    return df.agg(*_overview_aggregates(df))
 
 
 def build_recent_alerts(df: DataFrame, limit: int = 8) -> DataFrame:
@@ -155,30 +166,40 @@ def build_timeline(df: DataFrame, points: int = 24) -> DataFrame:
     )
 
 
+def _rate_aggregates(df: DataFrame) -> list[Column]:
+    return [F.avg(alert).alias(f"rate_{alert}") for alert in ALERTS if alert in df.columns]
+
+
+def _label_figures(
+    df: DataFrame, training_rates: Mapping[str, float]
+) -> dict[str, dict[str, Column]]:
+    """Per label: current rate, training rate and gap, over the aggregated rates."""
+    figures = {}
+    for label, alert in zip(LABELS, ALERTS):
+        if alert in df.columns:
+            current = F.col(f"rate_{alert}")
+            trained = F.lit(float(training_rates.get(label, 0.0)))
+            figures[label] = {
+                "current_rate": rnd(current, 4),
+                "training_rate": rnd(trained, 4),
+                "rate_gap": rnd(current - trained, 4),
+            }
+    return figures
+
+
 def build_label_summary(
     df: DataFrame, training_rates: Mapping[str, float] = BASELINE_RATES
 ) -> DataFrame:
     """Current alert rate per label against the training rate."""
-    pairs = [(label, alert) for label, alert in zip(LABELS, ALERTS) if alert in df.columns]
-    rates = df.agg(*[F.avg(alert).alias(alert) for _, alert in pairs])
-    return rates.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(label).alias("label"),
-                        F.lit(LABEL_TITLES[label]).alias("display_name"),
-                        rnd(F.col(alert), 4).alias("current_rate"),
-                        rnd(F.lit(float(training_rates.get(label, 0.0))), 4).alias("training_rate"),
-                        rnd(
-                            F.col(alert) - F.lit(float(training_rates.get(label, 0.0))), 4
-                        ).alias("rate_gap"),
-                    )
-                    for label, alert in pairs
-                ]
-            )
+    rows = [
+        F.struct(
+            F.lit(label).alias("label"),
+            F.lit(LABEL_TITLES[label]).alias("display_name"),
+            *[value.alias(name) for name, value in figures.items()],
         )
-    )
+        for label, figures in _label_figures(df, training_rates).items()
+    ]
+    return df.agg(*_rate_aggregates(df)).select(F.inline(F.array(*rows)))
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -240,47 +261,44 @@ def quality_flag_rate(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(rate, F.lit(0.0)).alias("quality_flag_rate"))
 
 
-def build_monitoring_summary(
-    df: DataFrame,
-    model: Mapping[str, object] = BASELINE_MODEL,
-    baseline: Sequence[Sequence[float]] | None = BASELINE_COOCCURRENCE,
-) -> DataFrame:
-    """Quality rate, co-occurrence gap and the model's stored diagnostics; one scan, one row."""
-    counted = df.agg(F.avg(_any_quality_flag(df)).alias("flag_rate"), *_pair_counts(ALERTS))
+def _monitoring_aggregates(df: DataFrame) -> list[Column]:
+    return [F.avg(_any_quality_flag(df)).alias("flag_rate"), *_pair_counts(ALERTS)]
+
+
+def _monitoring_figures(
+    model: Mapping[str, object], baseline: Sequence[Sequence[float]] | None
+) -> dict[str, Column]:
     stored = {
         "test_hamming_loss": "hamming_loss",
         "test_f1_macro": "f1_macro",
         "test_exact_match": "exact_match",
     }
-    return counted.select(
-        F.coalesce(rnd(F.col("flag_rate"), 4), F.lit(0.0)).alias("quality_flag_rate"),
-        _gap(baseline).alias("cooccurrence_gap"),
-        F.lit(model.get("selected_model")).cast("string").alias("model"),
-        *[
-            rnd(F.lit(float(model.get(key) or 0.0)), 4).alias(name)
-            for name, key in stored.items()
-        ],
-    )
+    return {
+        "quality_flag_rate": F.coalesce(rnd(F.col("flag_rate"), 4), F.lit(0.0)),
+        "cooccurrence_gap": _gap(baseline),
+        "model": F.lit(model.get("selected_model")).cast("string"),
+        **{n: rnd(F.lit(float(model.get(key) or 0.0)), 4) for n, key in stored.items()},
+    }
 
 
-def _report_rows(df: DataFrame, section: Column, entries: Sequence[tuple[Column, Column, bool]]):
-    """Long-form rows: text value for everything, numeric value where there is one."""
-    return df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        section.alias("section"),
-                        metric.alias("metric"),
-                        value.cast("string").alias("value"),
-                        (value.cast("double") if numeric else F.lit(None).cast("double")).alias(
-                            "value_num"
-                        ),
-                    )
-                    for metric, value, numeric in entries
-                ]
-            )
-        )
+def build_monitoring_summary(
+    df: DataFrame,
+    model: Mapping[str, object] = BASELINE_MODEL,
+    baseline: Sequence[Sequence[float]] | None = BASELINE_COOCCURRENCE,
+) -> DataFrame:
+    """Quality rate, co-occurrence gap and the model's stored diagnostics; one scan, one row."""
+    figures = _monitoring_figures(model, baseline)
+    return df.agg(*_monitoring_aggregates(df)).select(*[c.alias(n) for n, c in figures.items()])
+
+
+def _report_row(section: str, metric: Column, value: Column, numeric: bool = True) -> Column:
+    """Long form: a text value for everything, a number where there is one."""
+    number = value.cast("double") if numeric else F.lit(None).cast("double")
+    return F.struct(
+        F.lit(section).alias("section"),
+        metric.alias("metric"),
+        value.cast("string").alias("value"),
+        number.alias("value_num"),
     )
 
 
@@ -290,45 +308,29 @@ def build_monitoring_report(
     model: Mapping[str, object] = BASELINE_MODEL,
     baseline: Sequence[Sequence[float]] | None = BASELINE_COOCCURRENCE,
 ) -> DataFrame:
-    """``section, metric, value, value_num``: overview, labels, monitoring, top stations."""
-    overview = build_overview(df)
-    times = ("latest_timestamp", "latest_scored_at")
-    parts = [
-        _report_rows(
-            overview,
-            F.lit("overview"),
-            [
-                (F.lit(c), _iso(F.col(c)) if c in times else F.col(c), c not in times)
-                for c in overview.columns
-            ],
-        )
-    ]
-    parts.append(
-        _report_rows(
-            build_label_summary(df, training_rates),
-            F.lit("label"),
-            [
-                (F.concat("label", F.lit(f"_{c}")), F.col(c), True)
-                for c in ("current_rate", "training_rate", "rate_gap")
-            ],
-        )
+    """``section, metric, value, value_num``: overview, labels, monitoring, top stations.
+
+    The first three sections are one pass over the scored rows."""
+    figures = df.agg(
+        *_overview_aggregates(df), *_rate_aggregates(df), *_monitoring_aggregates(df)
     )
-    summary = build_monitoring_summary(df, model, baseline)
-    parts.append(
-        _report_rows(
-            summary,
-            F.lit("monitoring"),
-            [(F.lit(c), F.col(c), c != "model") for c in summary.columns],
-        )
+    rows = [
+        _report_row("overview", F.lit(c), _iso(F.col(c)), False)
+        if c in OVERVIEW_TIMES
+        else _report_row("overview", F.lit(c), F.col(c))
+        for c in OVERVIEW_COLUMNS
+    ]
+    for label, values in _label_figures(df, training_rates).items():
+        rows += [_report_row("label", F.lit(f"{label}_{n}"), c) for n, c in values.items()]
+    for name, value in _monitoring_figures(model, baseline).items():
+        rows.append(_report_row("monitoring", F.lit(name), value, name != "model"))
+    stations = build_station_summary(df).limit(STATIONS_SHOWN)
+    risk = _report_row(
+        "station", F.concat("station_id", F.lit("_max_risk_prob")), F.col("max_risk_prob")
     )
-    parts.append(
-        _report_rows(
-            build_station_summary(df).limit(STATIONS_SHOWN),
-            F.lit("station"),
-            [(F.concat("station_id", F.lit("_max_risk_prob")), F.col("max_risk_prob"), True)],
-        )
+    return figures.select(F.inline(F.array(*rows))).unionByName(
+        stations.select(F.inline(F.array(risk)))
     )
-    return reduce(DataFrame.unionByName, parts)
 
 
 def health_slice(df: DataFrame) -> DataFrame:
