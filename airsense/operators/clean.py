@@ -104,7 +104,8 @@ def fit_fill_values(df: DataFrame) -> FillValues:
     medians = exact_quantiles(long, ("key",), ["value"], (0.5,))
     lookup = as_lookup(medians.select("key", F.col("quantile").alias("median")), "medians")
     overall_keys = {f"{column}:{EVERY_GROUP}": column for column in GROUP_MEDIANS}
-    found = lookup.table.where(F.col("key").isin(*overall_keys)).collect()
+    found = lookup.rows or lookup.table.where(F.col("key").isin(*overall_keys)).collect()
+    found = [r for r in found if r["key"] in overall_keys]
     return FillValues(lookup, {overall_keys[r["key"]]: r["median"] for r in found})
 
 

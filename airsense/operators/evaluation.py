@@ -1,7 +1,8 @@
 """Splits, multi-label metrics, threshold tuning and model selection as aggregations."""
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -275,6 +276,20 @@ def headline_metrics(metrics: DataFrame, model: str) -> DataFrame:
     )
 
 
+def per_label_f1(metrics: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per label, one column per candidate."""
+    scores = [
+        rows.where("metric = 'f1'").select("label", F.lit(model).alias("model"), "value")
+        for model, rows in metrics.items()
+    ]
+    return (
+        reduce(DataFrame.unionByName, scores)
+        .groupBy("label")
+        .pivot("model", list(metrics))
+        .agg(F.max("value"))
+    )
+
+
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, median, mean, scale`` with mean and population deviation after filling nulls
     by the median; a constant column gets scale 1. A column without any value counts as 0."""

@@ -3,7 +3,7 @@
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsense.functions.domain import risk_title
@@ -372,6 +372,13 @@ def history_bands(df: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("rows"))
 
 
+def _document(rows: DataFrame, section: str) -> DataFrame:
+    return rows.select(
+        F.lit(section).alias("section"),
+        F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("document"),
+    )
+
+
 def build_snapshot(
     df: DataFrame,
     training_rates: Mapping[str, float] = BASELINE_RATES,
@@ -384,24 +391,58 @@ def build_snapshot(
 
     Sections that grow with the data (stations) stay rows of a table instead of one big cell.
     """
+    status = data_signature(df).select(
+        F.lit("ok").alias("status"), F.current_timestamp().alias("generated_at"), "data_signature"
+    )
     sections = {
+        "status": status,
         "overview": build_overview(df),
         "alerts": build_recent_alerts(df, alert_limit),
         "stations": build_station_summary(df),
         "timeline": build_timeline(df, timeline_points),
         "labels": build_label_summary(df, training_rates),
         "monitoring": build_monitoring_summary(df, model, baseline),
+        "model": _model_row(df.sparkSession, model),
     }
-    documents = [
-        rows.select(
-            F.lit(name).alias("section"),
-            F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("document"),
-        )
-        for name, rows in sections.items()
-    ]
+    documents = [_document(rows, name) for name, rows in sections.items()]
     return reduce(DataFrame.unionByName, documents)
 
 
+def empty_snapshot(spark: SparkSession, model: Mapping[str, object] = BASELINE_MODEL) -> DataFrame:
+    """The snapshot before any prediction exists: a status and the model, no other rows."""
+    status = spark.range(1).select(
+        F.lit("no_predictions").alias("status"), F.current_timestamp().alias("generated_at")
+    )
+    return _document(status, "status").unionByName(_document(_model_row(spark, model), "model"))
+
+
+def _model_row(spark: SparkSession, model: Mapping[str, object]) -> DataFrame:
+    return spark.range(1).select(*[F.lit(value).alias(name) for name, value in model.items()])
+
+
+def _within(name: str, value: int, low: int, high: int) -> int:
+    if not low <= value <= high:
+        raise ValueError(f"{name} must be between {low} and {high}")
+    return value
+
+
+def dashboard_view(
+    df: DataFrame, alert_limit: int = 8, timeline_points: int = 24, **options
+) -> DataFrame:
+    """The snapshot with the bounds of the dashboard view: 1–20 alerts, 6–72 points."""
+    return build_snapshot(
+        df,
+        alert_limit=_within("alert_limit", alert_limit, 1, 20),
+        timeline_points=_within("timeline_points", timeline_points, 6, 72),
+        **options,
+    )
+
+
+def alerts_view(df: DataFrame, limit: int = 10) -> DataFrame:
+    """The recent alerts with the bounds of the alerts view: 1–25 rows."""
+    return build_recent_alerts(df, _within("limit", limit, 1, 25))
+
+
 def data_signature(df: DataFrame) -> DataFrame:
     """Changes whenever scored rows were added or replaced: newest scoring time and row count."""
     return df.agg(

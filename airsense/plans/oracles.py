@@ -755,6 +755,19 @@ COMPARED = "compared AS (" + union(
     f"SELECT '{n}' AS model, {', '.join(f'{e} AS {m}' for m, e in OVERALL.items())} FROM ({metric_counts(t)})"
     for n, t in _candidates.items()
 ) + ")"
+_all_counts = ", ".join(f"({metric_counts(t)}) AS m_{n}" for n, t in _candidates.items())
+ORACLES["per_label_f1"] = over(
+    SCORED_RAW,
+    union(
+        f"SELECT '{label}' AS label, "
+        + ", ".join(
+            f"{r(_f1(f'm_{n}.tp_{i}', f'm_{n}.fp_{i}', f'm_{n}.fn_{i}'), 6)} AS {n}"
+            for n in _candidates
+        )
+        + f" FROM {_all_counts}"
+        for i, label in enumerate(LABELS)
+    ),
+)
 _rounded_metrics = ", ".join(f"{r(m, 6)} AS {m}" for m in OVERALL)
 ORACLES["model_comparison"] = over(
     f"{SCORED_RAW}, {COMPARED}", f"SELECT model, {_rounded_metrics} FROM compared"

@@ -564,19 +564,26 @@ def class_weights(spark, sf_dir):
     return rounded(evaluation.class_weights(readings(spark, sf_dir)), ("weight",))
 
 
-CANDIDATE_THRESHOLDS = {"shipped": THRESHOLDS, "low": dict.fromkeys(LABELS, 0.3), "high": dict.fromkeys(LABELS, 0.7)}
+CANDIDATE_THRESHOLDS = {
+    "shipped": THRESHOLDS,
+    "low": dict.fromkeys(LABELS, 0.3),
+    "high": dict.fromkeys(LABELS, 0.7),
+}
 
 
-def candidates(spark, sf_dir) -> DataFrame:
+def candidate_metrics(spark, sf_dir) -> dict[str, DataFrame]:
     """Three sets of thresholds over the same probabilities stand for three models."""
     rows = add_fixture_probabilities(readings(spark, sf_dir))
-    judged = [
-        evaluation.headline_metrics(
-            evaluation.evaluate_multilabel(scoring.add_alerts(rows, thresholds)), name
-        )
+    return {
+        name: evaluation.evaluate_multilabel(scoring.add_alerts(rows, thresholds))
         for name, thresholds in CANDIDATE_THRESHOLDS.items()
-    ]
-    return reduce(DataFrame.unionByName, judged)
+    }
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    judged = candidate_metrics(spark, sf_dir)
+    rows = [evaluation.headline_metrics(metrics, name) for name, metrics in judged.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 METRIC_NAMES = ("hamming_loss", "f1_micro", "f1_macro", "exact_match", "jaccard_samples")
@@ -592,6 +599,12 @@ def model_selection(spark, sf_dir):
     return rounded(evaluation.select_model(candidates(spark, sf_dir)), METRIC_NAMES)
 
 
+@query
+def per_label_f1(spark, sf_dir):
+    table = evaluation.per_label_f1(candidate_metrics(spark, sf_dir))
+    return rounded(table, list(CANDIDATE_THRESHOLDS))
+
+
 @query
 def preprocessor_stats(spark, sf_dir):
     rows = readings(spark, sf_dir)

@@ -10,7 +10,7 @@ import tempfile
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SMALL_TABLE_ROWS = 10_000
@@ -43,10 +43,14 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Lookup:
-    """A lookup table together with the outcome of its size check."""
+    """A lookup table together with the outcome of its size check; its rows when it is small."""
 
     table: DataFrame
-    small: bool
+    rows: tuple[Row, ...] | None
+
+    @property
+    def small(self) -> bool:
+        return self.rows is not None
 
     def side(self) -> DataFrame:
         """Broadcast when the check passed; otherwise a plain side that joins by shuffle, where
@@ -58,5 +62,5 @@ def as_lookup(df: DataFrame, name: str, max_rows: int = SMALL_TABLE_ROWS) -> Loo
     """Run ``df`` once. At most ``max_rows`` rows: a local relation. More: a stored table."""
     rows = df.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        return Lookup(df.sparkSession.createDataFrame(rows, df.schema), True)
-    return Lookup(store(df, name), False)
+        return Lookup(df.sparkSession.createDataFrame(rows, df.schema), tuple(rows))
+    return Lookup(store(df, name), None)

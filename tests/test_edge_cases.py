@@ -197,6 +197,20 @@ def test_monitoring_without_optional_columns(spark):
     assert monitoring.cooccurrence_gap(alerts, None).first()[0] == 0.0
 
 
+def test_snapshot_without_predictions_and_view_bounds(spark):
+    rows = {r["section"]: r["document"] for r in monitoring.empty_snapshot(spark).collect()}
+    assert set(rows) == {"status", "model"}
+    assert '"status":"no_predictions"' in rows["status"]
+    empty = spark.createDataFrame([], "reading_id string")
+    for call in (
+        lambda: monitoring.alerts_view(empty, 26),
+        lambda: monitoring.dashboard_view(empty, alert_limit=21),
+        lambda: monitoring.dashboard_view(empty, timeline_points=5),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_cooccurrence_is_symmetric_with_rates_on_the_diagonal(raw):
     cells = {(r[0], r[1]): r[2] for r in monitoring.label_cooccurrence(raw).collect()}
     rates = {r[0]: r[1] for r in evaluation.label_rates(raw).collect()}

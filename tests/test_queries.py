@@ -39,7 +39,8 @@ def test_snapshot_sections(spark, sf_dir):
     rows = QUERIES["dashboard_snapshot"](spark, sf_dir).groupBy("section").count().collect()
     counts = {r["section"]: r["count"] for r in rows}
     assert counts == {
-        "overview": 1, "alerts": 8, "stations": 6, "timeline": 24, "labels": 5, "monitoring": 1,
+        "status": 1, "overview": 1, "alerts": 8, "stations": 6, "timeline": 24, "labels": 5,
+        "monitoring": 1, "model": 1,
     }
 
 

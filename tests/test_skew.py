@@ -99,6 +99,12 @@ def test_quantiles_are_exact_beyond_the_sketch(spark, accuracy):
         assert r["quantile"] == pytest.approx(np.quantile(values, r["prob"]), rel=1e-12)
 
 
+def test_large_groups_get_a_finer_sketch(spark):
+    df = spark.range(50_000).select((F.pmod(F.xxhash64("id"), F.lit(99_991)) / 3).alias("v"))
+    found = exact_quantiles(df, (), ("v",), (0.5,), accuracy=100, bracket_cells=600).first()
+    assert found["quantile"] == pytest.approx(np.median(df.toPandas()["v"]), rel=1e-12)
+
+
 def test_quantiles_skip_nulls_and_unknown_groups(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", None), ("a", 4.0), ("b", None), (None, 9.0)], "g string, v double"
