@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airsense.functions.domain import aqi_from_pm25
+from airsense.functions.domain import SEASONS, aqi_from_pm25
 from airsense.functions.numeric import flag, rnd
 from airsense.operators.quantiles import exact_quantiles, long_values
 
@@ -50,7 +50,7 @@ def rule_violations() -> dict[str, Column]:
     rules, missing = physical_rules(), lambda name: F.col(name).isNull()
     cleaned_type = F.initcap(F.btrim("station_type"))
     return {
-        "season": ~F.coalesce(F.col("season").isin("Winter", "Spring", "Summer", "Fall"), F.lit(False)),
+        "season": ~F.coalesce(F.col("season").isin(*SEASONS.values()), F.lit(False)),
         "station_type": ~F.col("station_type").eqNullSafe(cleaned_type),
         "benzene": missing("benzene"),
         "visibility_km": missing("visibility_km"),
@@ -200,32 +200,38 @@ def null_masks(df: DataFrame) -> DataFrame:
 
 def quality_summary(df: DataFrame) -> DataFrame:
     """The six-line text summary."""
+
+    def lines(one_row: DataFrame, first: int, texts: dict[str, Column]) -> DataFrame:
+        return _long(
+            one_row,
+            [
+                [
+                    ("line_no", F.lit(number)),
+                    ("line", F.concat(F.lit(f"{text}: "), value.cast("string"))),
+                ]
+                for number, (text, value) in enumerate(texts.items(), first)
+            ],
+        )
+
     rules = physical_rules()
-    broken = df.agg(
-        *[F.count_if(rules[n]).alias(n) for n in ("pm10_less_than_pm25", "aqi_discrepancy_over_30", "zero_wind_speed")]
-    )
-    counts = duplicate_counts(df)
-    first = _long(
-        counts,
-        [
-            [("line_no", F.lit(1)), ("line", F.concat(F.lit("Rows: "), F.format_number("total_rows", 0)))],
-            [("line_no", F.lit(2)), ("line", F.concat(F.lit("Columns: "), F.col("total_columns").cast("string")))],
-            [("line_no", F.lit(3)), ("line", F.concat(F.lit("Duplicate rows excluding reading_id: "), F.col("duplicates_excluding_reading_id").cast("string")))],
-        ],
-    )
-    titles = {
-        4: ("PM10 < PM2.5 rows: ", "pm10_less_than_pm25"),
-        5: ("AQI mismatch rows: ", "aqi_discrepancy_over_30"),
-        6: ("Wind speed = 0.0 rows: ", "zero_wind_speed"),
+    broken = {
+        "PM10 < PM2.5 rows": "pm10_less_than_pm25",
+        "AQI mismatch rows": "aqi_discrepancy_over_30",
+        "Wind speed = 0.0 rows": "zero_wind_speed",
     }
-    second = _long(
-        broken,
-        [
-            [("line_no", F.lit(n)), ("line", F.concat(F.lit(text), F.col(name).cast("string")))]
-            for n, (text, name) in titles.items()
-        ],
+    counts = lines(
+        duplicate_counts(df),
+        1,
+        {
+            "Rows": F.format_number("total_rows", 0),
+            "Columns": F.col("total_columns"),
+            "Duplicate rows excluding reading_id": F.col("duplicates_excluding_reading_id"),
+        },
+    )
+    checks = df.agg(*[F.count_if(rules[name]).alias(name) for name in broken.values()])
+    return counts.unionByName(
+        lines(checks, 4, {text: F.col(name) for text, name in broken.items()})
     )
-    return first.unionByName(second)
 
 
 def validation_summary(df: DataFrame) -> DataFrame:

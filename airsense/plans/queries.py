@@ -14,7 +14,7 @@ from airsense.operators.training import SMALL_SETTINGS
 from airsense.plans.pipeline import score_readings, train
 from airsense.schema import (
     ALERTS, CIRCULAR_FEATURES, COMPOSITE_FEATURES, IMPUTED_COLUMNS, LABELS, LIVE_BASE_COLUMNS,
-    LOGGED_COLUMNS, MISSING_FLAGS, PROBS, READING_COLUMNS, RISK_FEATURES, ROLLING_FEATURES,
+    LOGGED_COLUMNS, MISSING_FLAGS, PROBS, RISK_FEATURES, ROLLING_FEATURES,
     SAMPLE_COLUMNS, THRESHOLDS, WEATHER_FEATURES,
 )
 from airsense.sources import history
