@@ -235,31 +235,28 @@ def quality_summary(df: DataFrame) -> DataFrame:
 
 
 def validation_summary(df: DataFrame) -> DataFrame:
-    """Everything above as ``section, metric, value``."""
+    """Counts, missing values and rates, and physical checks as ``section, metric, value``.
+
+    Two chains: the duplicate grouping, and one pass for everything that needs no grouping.
+    """
+
+    def entry(section: str, metric: str, value: Column) -> list[tuple[str, Column]]:
+        return [
+            ("section", F.lit(section)),
+            ("metric", F.lit(metric)),
+            ("value", value.cast("double")),
+        ]
+
     counts = duplicate_counts(df)
-    names = ("total_rows", "total_columns", "duplicate_rows", "duplicates_excluding_reading_id")
-    overall = _long(
-        counts,
-        [
-            [("section", F.lit("overview")), ("metric", F.lit(n)), ("value", F.col(n).cast("double"))]
-            for n in names
-        ],
-    )
-    missing = missing_profile(df)
-    parts = [overall]
-    for section, column in (("missing_values", "missing"), ("missing_rates", "missing_rate")):
-        parts.append(
-            missing.select(
-                F.lit(section).alias("section"),
-                F.col("column_name").alias("metric"),
-                F.col(column).cast("double").alias("value"),
-            )
-        )
-    parts.append(
-        physical_checks(df).select(
-            F.lit("physical_checks").alias("section"),
-            F.col("check_name").alias("metric"),
-            F.col("rows").cast("double").alias("value"),
-        )
+    overall = _long(counts, [entry("overview", name, F.col(name)) for name in counts.columns])
+    rules = physical_rules()
+    counted = df.agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in df.columns],
+        *[F.count_if(rule).alias(name) for name, rule in rules.items()],
     )
-    return reduce(DataFrame.unionByName, parts)
+    rows = F.nullif(F.col("rows"), F.lit(0))
+    entries = [entry("missing_values", c, F.col(f"n_{c}")) for c in df.columns]
+    entries += [entry("missing_rates", c, rnd(F.col(f"n_{c}") / rows, 4)) for c in df.columns]
+    entries += [entry("physical_checks", name, F.col(name)) for name in rules]
+    return overall.unionByName(_long(counted, entries))

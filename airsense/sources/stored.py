@@ -58,8 +58,9 @@ class Lookup:
         return F.broadcast(self.table) if self.small else self.table
 
 
-def as_lookup(df: DataFrame, name: str, max_rows: int = SMALL_TABLE_ROWS) -> Lookup:
+def as_lookup(df: DataFrame, name: str, max_rows: int | None = None) -> Lookup:
     """Run ``df`` once. At most ``max_rows`` rows: a local relation. More: a stored table."""
+    max_rows = SMALL_TABLE_ROWS if max_rows is None else max_rows
     rows = df.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
         return Lookup(df.sparkSession.createDataFrame(rows, df.schema), tuple(rows))

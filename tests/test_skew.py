@@ -4,11 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from airsense.operators import evaluation, features
+from airsense.operators import clean, eda, evaluation, features, monitoring, quality
 from airsense.operators.ordered import chunk_of, cut_points, order_key, rows_at
 from airsense.operators.quantiles import exact_quantiles
 from airsense.schema import ROLLING_FEATURES
+from airsense.sources import stored
+from airsense.sources.driver_tables import add_fixture_scores
 from airsense.sources.history import last_write_wins
+from airsense.sources.stored import store
 from conftest import plan_of
 
 
@@ -114,6 +117,48 @@ def test_quantiles_skip_nulls_and_unknown_groups(spark):
     ]
 
 
+def test_a_third_of_all_rows_are_copies(raw):
+    one = raw.orderBy("reading_id").limit(1)
+    copies = one.crossJoin(raw.sparkSession.range(500)).select(
+        F.concat(F.lit("COPY"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("reading_id"),
+        *[c for c in raw.columns if c != "reading_id"],
+    )
+    rows = store(raw.unionByName(copies).repartition(5), "copies")
+    before = quality.duplicate_counts(raw).first()
+    after = quality.duplicate_counts(rows).first()
+    assert after["total_rows"] == before["total_rows"] + 500
+    assert (
+        after["duplicates_excluding_reading_id"]
+        == before["duplicates_excluding_reading_id"] + 500
+    )
+    kept = clean.drop_sensor_duplicates(rows)
+    assert kept.count() == clean.drop_sensor_duplicates(raw).count()
+    assert kept.where("reading_id like 'COPY%'").count() == 1
+    assert quality.duplicate_groups(rows).agg(F.max("group_size")).first()[0] >= 501
+
+
+def test_results_are_the_same_beyond_the_broadcast_limit(monkeypatch, raw):
+    """With a limit of two rows every lookup becomes a stored table and a shuffle join."""
+    scored = add_fixture_scores(clean.clean_rows(raw))
+
+    def results():
+        titled = eda.title_categories(raw)
+        numbers = evaluation.numeric_stats(raw, ["pm25", "benzene", "aqi"])
+        return [
+            sorted(map(str, df.collect()))
+            for df in (
+                clean.preprocess(raw),
+                eda.pollutant_quartiles(titled),
+                monitoring.build_station_summary(scored),
+                numbers.select("column_name", "median", F.round("mean", 9)),
+            )
+        ]
+
+    usual = results()
+    monkeypatch.setattr(stored, "SMALL_TABLE_ROWS", 2)
+    assert results() == usual
+
+
 def test_rank_limits_run_before_the_shuffle(spark, hot):
     keyed = hot.withColumn("seq", F.col("aqi"))
     plan = plan_of(last_write_wins(keyed, ("station_id",), ("seq",)))
