@@ -40,9 +40,13 @@ NUMERATOR, DENOMINATOR = 3, 4
 FILTER_WORDS = 16
 #: Elements that a task gathers before it emits them by bucket.
 FLUSH = 4_000_000
+#: Rows (of 32 bytes) up to which the sets' components are broadcast to label the groups.
+LABELS_BROADCAST = 400_000
 #: Shingles found this often in a piece of a task and in all are ordered last; any values give the same links.
 HOT_LOCAL, HOT_TOTAL, HOT_MOST = 4, 64, 100_000
 BLOCK = 1024
+#: A key that more sets than this of one gathering have goes to its bucket as one entry.
+RUN_MOST = 64
 _ONE, _C1, _C2 = np.uint64(1), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 SUMMARY = T.StructType([
@@ -55,7 +59,8 @@ BUCKETS = T.StructType([
     T.StructField("keys", T.BinaryType()), T.StructField("sids", T.BinaryType()), T.StructField("counts", T.BinaryType()),
 ])
 MEMBERS = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("center", T.LongType()),
+    T.StructField("level", T.IntegerType()), T.StructField("grp", T.LongType()), T.StructField("member", T.LongType()),
+    T.StructField("center", T.LongType()),
 ])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -160,9 +165,23 @@ def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
+def group_ids(members: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of the set of members of each run; ``first`` has the runs' starts."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    length = np.diff(np.append(first, len(members))).astype(np.uint64)
+    return mix(np.add.reduceat(mix(members ^ _C1), first) ^ mix(np.bitwise_xor.reduceat(mix(members + _C2), first) + length))
+
+
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return first, np.diff(np.append(first, len(key)))
+
+
 def emitter(buckets: int, hot: np.ndarray):
-    """Keys of all sets, packed by bucket. Documents of one gathering that share a key stay here:
-    they become members of the key's star, and one of them stands for it in the bucket."""
+    """Keys of all sets, packed by bucket: kind 0 has (key, set). Where many sets of one gathering
+    share a key, the bucket gets one entry for them, and kind 1 has the group that it stands for."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_band = {b: np.sort(single_word_keys(hot, b)) for b in range(40)} if len(hot) else {}
@@ -177,29 +196,28 @@ def emitter(buckets: int, hot: np.ndarray):
             sid = np.repeat(np.array(sids, np.uint64), [len(x) for x in keys])
             order = np.lexsort((sid, key))
             key, sid = key[order], sid[order]
-            first = np.concatenate(([True], key[1:] != key[:-1]))
-            many = np.concatenate((~first[1:], [False])) | ~first
-            center = sid[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+            first, length = runs(key)
             rows = []
+            long = length > RUN_MOST
+            if long.any():
+                inside = np.repeat(long, length)
+                heads, lengths = runs(key[inside])
+                names = group_ids(sid[inside], heads)
+                _, once = np.unique(names, return_index=True)
+                for k in once:
+                    group = sid[inside][heads[k] : heads[k] + lengths[k]]
+                    rows.append((int(names[k] % np.uint64(buckets)), 1, names[k].tobytes(), group.tobytes(), b""))
+                key = np.concatenate((key[~inside], key[first[long]]))
+                sid = np.concatenate((sid[~inside], names))
             bucket = (key % np.uint64(buckets)).astype(np.int32)
-            for kind, part in ((0, first), (1, many)):
-                at = np.flatnonzero(part)
-                if not kind:
-                    at = at[np.lexsort((sid[at], bucket[at]))]
-                else:
-                    at = at[np.argsort(bucket[at], kind="stable")]
-                cuts = np.flatnonzero(np.concatenate(([True], bucket[at][1:] != bucket[at][:-1], [True]))) if len(at) else [0]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    k, s = key[at[a:b]], sid[at[a:b]]
-                    p = int(bucket[at[a]])
-                    if kind:
-                        rows.append((p, kind, k.tobytes(), s.tobytes(), center[at[a:b]].tobytes()))
-                    else:
-                        heads = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-                        counts = np.diff(np.append(heads, len(s))).astype(np.uint32)
-                        rest = k // np.uint64(buckets)
-                        packed = (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
-                        rows.append((p, kind, packed, s[heads].tobytes(), counts.tobytes()))
+            order = np.lexsort((sid, bucket))
+            key, sid, bucket = key[order], sid[order], bucket[order]
+            for a, n in zip(*runs(bucket), strict=True):
+                k, s = key[a : a + n], sid[a : a + n]
+                heads, counts = runs(s)
+                rest = k // np.uint64(buckets)
+                packed = (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + ((rest >> np.uint64(32)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+                rows.append((int(bucket[a]), 0, packed, s[heads].tobytes(), counts.astype(np.uint32).tobytes()))
             for i in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 64], strict=True), schema, strict=True)], schema=schema)
 
@@ -225,19 +243,24 @@ def emitter(buckets: int, hot: np.ndarray):
 
 
 def gatherer(buckets: int):
-    """Of a bucket's keys, those that two or more sets have, as rows (key, set, star's center)."""
+    """Groups of sets that share a key, each distinct group of a bucket once. Level 1: groups whose
+    members are sets or level 0 groups; level 0: the groups that a gathering made."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("sid", pa.int64()), ("center", pa.int64())])
+        schema = pa.schema([("level", pa.int32()), ("grp", pa.int64()), ("member", pa.int64()), ("center", pa.int64())])
+
+        def out(level: int, group: np.ndarray, member: np.ndarray, center: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(group), 100_000):
+                part = [pa.array(x[i : i + 100_000].view(np.int64)) for x in (group, member, center)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), level, np.int32)), *part], schema=schema)
+
         keys, sids = [], []
         for batch in batches:
             kinds, ks, ss, cs = (batch.column(c).to_pylist() for c in ("kind", "keys", "sids", "counts"))
             for p, kind, k, s, c in zip(batch.column("bucket").to_pylist(), kinds, ks, ss, cs, strict=True):
                 sid = np.frombuffer(s, np.uint64)
                 if kind:
-                    # the same 40 bits by which the other rows of the bucket know their keys
-                    key = ((np.frombuffer(k, np.uint64) // np.uint64(buckets)) & np.uint64((1 << 40) - 1)) * np.uint64(buckets) + np.uint64(p)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(sid)), pa.array(np.frombuffer(c, np.int64))], schema=schema)
+                    yield from out(0, np.repeat(np.frombuffer(k, np.uint64), len(sid)), sid, np.repeat(sid[:1], len(sid)))
                     continue
                 counts = np.frombuffer(c, np.uint32)
                 n = int(counts.sum())
@@ -251,12 +274,18 @@ def gatherer(buckets: int):
         key, sid = key[order], sid[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
         key, sid = key[new], sid[new]
-        first = np.concatenate(([True], key[1:] != key[:-1]))
-        many = np.concatenate((~first[1:], [False])) | ~first
-        center = sid[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        key, sid, center = key[many], sid[many], center[many]
-        for i in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(x[i : i + 100_000])) for x in (key, sid, center)], schema=schema)
+        _, length = runs(key)
+        sid = sid[np.repeat(length > 1, length)]
+        length = length[length > 1]
+        first = np.cumsum(length) - length
+        names, once = np.unique(group_ids(sid, first), return_index=True)
+        kept = np.zeros(len(first), bool)
+        kept[once] = True
+        inside = np.repeat(kept, length)
+        length = length[kept]
+        sid = sid[inside]
+        first = np.cumsum(length) - length
+        yield from out(1, np.repeat(group_ids(sid, first), length), sid, np.repeat(sid[first], length))
 
     return gather
 
@@ -275,20 +304,39 @@ def keep_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def compare_block(table: pa.Table) -> pa.Table:
-    """Close pairs of one block (``side`` 2: with itself; else side 0 with side 1), of different
-    components."""
-    doc, n, comp, side = (table.column(c).to_numpy() for c in ("doc_id", "n_shingles", "component", "side"))
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, FILTER_WORDS)
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
-    found_a, found_b = [], []
-    for i in left:
-        keep = close(sketch[i], sketch[right], n[i], n[right]) & (comp[right] != comp[i]) & (doc[right] > doc[i] if side[i] == 2 else True)
-        found_a.append(np.full(int(keep.sum()), doc[i]))
-        found_b.append(doc[right[keep]])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs of different components in each block (``side`` 2: with itself; else side 0
+    with side 1). Rows come sorted by block; a block has at most about twice ``BLOCK`` rows."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held: list[pa.RecordBatch] = []
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        group, low, high, doc, n, comp, side = (table.column(c).to_numpy() for c in ("grp", "low", "high", "doc_id", "n_shingles", "component", "side"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, FILTER_WORDS)
+        cuts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+        found = []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            right = x + np.flatnonzero(side[x:y] != 0)
+            for i in x + np.flatnonzero(side[x:y] != 1):
+                other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (side[i] != 2))]
+                if len(other):
+                    other = other[close(sketch[i], sketch[other], n[i], n[other])]
+                    found += [(min(doc[i], doc[k]), max(doc[i], doc[k])) for k in other]
+        pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch])
+        group, low, high = (table.column(c).to_numpy() for c in ("grp", "low", "high"))
+        open_ = (group == group[-1]) & (low == low[-1]) & (high == high[-1])
+        last = int(np.argmax(open_))
+        if last:
+            yield compare(table.slice(0, last))
+        held = table.slice(last).to_batches()
+    if held:
+        yield compare(pa.Table.from_batches(held))
 
 
 def verify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,27 +388,39 @@ def close_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def rest_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Close pairs within keys whose documents are not yet all in one component."""
+    """Close pairs within groups whose documents are not yet all in one component."""
+    made = store(members.where("level = 0").select(F.col("grp").alias("made"), F.col("member").alias("sid")).distinct(), "jaccard-made")
+    inner = members.where("level = 1").select("grp", "member").join(small_side(made), F.col("member") == F.col("made"), "left")
+    known = store(
+        reps.select("sid", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .select("sid", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")),
+        "jaccard-known",
+    )
     labelled = (
-        members.select("key", "sid").distinct().join(reps.select("sid", "doc_id", "n_shingles"), "sid")
-        .join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+        inner.select("grp", F.coalesce("sid", "member").alias("sid")).union(made.select(F.col("made").alias("grp"), "sid"))
+        .join(small_side(known, LABELS_BROADCAST), "sid")
+    )
+    several = store(
+        labelled.groupBy("grp").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high").select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        "jaccard-several",
     )
-    several = (
-        labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = (
+        labelled.join(small_side(several), "grp").distinct()
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .join(reps.select("doc_id", "sketch"), "doc_id")
     )
-    rows = store(
-        labelled.join(several, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")),
-        "jaccard-rest",
-    ).join(reps.select("doc_id", "sketch"), "doc_id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rows.select("*", other).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         "doc_id", "n_shingles", "component", "sketch",
     )
-    return dealt.groupBy("key", "low", "high").applyInArrow(compare_block, PAIRS).distinct()
+    n = partitions(members.sparkSession)
+    return (
+        dealt.repartition(n, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+        .mapInArrow(compare_blocks, PAIRS).distinct()
+    )
 
 
 def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -391,9 +451,12 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .repartition(buckets, "bucket").mapInArrow(gatherer(buckets), MEMBERS),
         "jaccard-members",
     )
+    # a group made in a task is known by its center
     ids = classes.select("sid", "doc_id")
+    made = members.where("level = 0 and member = center").select("grp", F.col("member").alias("sid")).distinct()
+    ids = ids.union(made.join(ids, "sid").select("grp", "doc_id"))
     stars = (
-        members.where("sid <> center").select("sid", "center").distinct()
+        members.where("member <> center").select(F.col("member").alias("sid"), "center").distinct()
         .join(ids, "sid").join(ids.select(F.col("sid").alias("center"), F.col("doc_id").alias("other")), "center")
         .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).where("a < b").distinct()
     )
