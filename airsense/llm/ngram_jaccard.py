@@ -1,22 +1,22 @@
 """N-gram Jaccard join by parity sketches: all pairs of documents with Jaccard 0.75 or more.
 
-The distinct 5-word shingles of a document are XOR-hashed into a bit sketch of W 64-bit words: a
-shingle flips one bit of one word. Two sketches differ in at most as many bits, and so in at most
-as many words, as the sets have shingles that only one of them holds. At Jaccard t that symmetric
-difference is at most (1 - t) / (1 + t) of the two sizes together, and with a size of n on one side
-at most d = n (1 - t) / t. Hence, of the non-zero words of a sketch in any fixed order, the first d + 1 of both sides
-share one (pigeonhole over words): equality of one sketch word is the join key. W is set per size
-band; a document whose partners may lie in the next band also emits that band's words. The few
-sketches whose flipped bits cancelled until no more than d words are non-zero emit a prefix of
-their shingles instead, so that no link depends on luck.
-
-Order of words: those with more flipped bits first, since a word that several shingles flipped is
-rarely shared by chance, and words made by a frequent shingle alone last. Any order gives the same
-links; frequent shingles are counted over all documents.
+The distinct 5-word shingles of a document are XOR-hashed into a sketch of W 64-bit words: a
+shingle XORs its 64 hash bits into one word. Two sketches differ in at most as many words as the
+sets have shingles that only one of them holds. At Jaccard t that symmetric difference is at most
+(1 - t) / (1 + t) of the two sizes together, and with a size of n on one side at most
+d = n (1 - t) / t. Hence, of the non-empty words of a sketch in any fixed order, the first d + 1 of
+both sides share one (pigeonhole over words): equality of one sketch word is the join key. W is set
+per size band; a document whose partners may lie in the next band also emits that band's words. The
+few sets whose shingles fall into no more than d words emit a prefix of their shingles instead, so
+that no link depends on luck.
+
+Order of words: those of more shingles first, since a word that several shingles made is rarely
+shared by chance, and words made by a frequent shingle alone last. Any order gives the same links;
+frequent shingles are counted over all documents.
 
 Candidates are star-shaped (each document with the first document of its key), filtered by a
-second, fixed-size parity sketch (Hamming distance bounds the symmetric difference from below) and
-verified on the exact sets. Keys whose documents are in one component then need nothing more; the
+second, fixed-size parity sketch of one bit per shingle (its Hamming distance bounds the symmetric
+difference from below) and verified on the exact sets. Keys whose documents are in one component then need nothing more; the
 rest is compared in blocks of ``BLOCK`` members, so that a key of any size is split over tasks.
 """
 
@@ -98,21 +98,19 @@ def set_id(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
 
 
 def band_words(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, flipped bits) of the non-zero words of the band's sketch. ``shingles`` are sorted, so
-    words, taken from the high bits, come in order."""
+    """(key, shingles in it) of the words of the band's sketch that hold any. ``shingles`` are
+    sorted, so words, taken from the high bits, come in order."""
     width = np.uint64(2 << band)
     at = ((shingles >> np.uint64(32)) * width) >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    word = np.bitwise_xor.reduceat(_ONE << (shingles & np.uint64(63)), first)
-    kept = word != 0
-    word, at = word[kept], at[first][kept]
-    return mix((at * _C1) ^ mix(word + np.uint64(band))), np.bitwise_count(word)
+    first, count = runs(at)
+    word = np.bitwise_xor.reduceat(mix(shingles), first)
+    return mix((at[first] * _C1) ^ (word + np.uint64(band))), count
 
 
 def single_word_keys(shingles: np.ndarray, band: int) -> np.ndarray:
     """The keys that each of ``shingles`` makes alone in a word."""
     at = ((shingles >> np.uint64(32)) * np.uint64(2 << band)) >> np.uint64(32)
-    return mix((at * _C1) ^ mix((_ONE << (shingles & np.uint64(63))) + np.uint64(band)))
+    return mix((at * _C1) ^ (mix(shingles) + np.uint64(band)))
 
 
 def keys_of(shingles: np.ndarray, hot: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
@@ -121,14 +119,14 @@ def keys_of(shingles: np.ndarray, hot: dict[int, np.ndarray]) -> Iterator[np.nda
     n = len(shingles)
     own, need = band_of(n), most_different(n) + 1
     for band in (own, own + 1) if n + most_different(n) >= 2 << own else (own,):
-        keys, flips = band_words(shingles, band)
+        keys, count = band_words(shingles, band)
         if len(keys) < need:
             # any linked set shares one of the first quarter of the shingles, in one fixed order
             order = np.sort(mix(shingles + _C1))[: n - -(-n * NUMERATOR // DENOMINATOR) + 1]
             yield mix(order ^ np.uint64(band + 1000))
             keys = np.sort(keys)
         elif len(keys) > need:
-            rare = np.minimum(flips, 7).astype(np.uint64)
+            rare = np.minimum(count, 7).astype(np.uint64)
             if band in hot:
                 place = np.minimum(np.searchsorted(hot[band], keys), len(hot[band]) - 1)
                 rare[hot[band][place] == keys] = 0
