@@ -16,8 +16,10 @@ frequent shingles are counted over all documents.
 
 Candidates are star-shaped (each document with the first document of its key), filtered by a
 second, fixed-size parity sketch of one bit per shingle (its Hamming distance bounds the symmetric
-difference from below) and verified on the exact sets. Keys whose documents are in one component then need nothing more; the
-rest is compared in blocks of ``BLOCK`` members, so that a key of any size is split over tasks.
+difference from below) and verified on the exact sets. Keys whose documents are in one component then need nothing more. The
+rest is compared in blocks of ``BLOCK`` members, so that a key of any size is split over tasks: first
+for a forest of near pairs, which joins what belongs together, then for every close pair that still
+lies between two components.
 """
 
 from __future__ import annotations
@@ -302,39 +304,61 @@ def keep_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_comparer(forest: bool):
     """Close pairs of different components in each block (``side`` 2: with itself; else side 0
-    with side 1). Rows come sorted by block; a block has at most about twice ``BLOCK`` rows."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    held: list[pa.RecordBatch] = []
+    with side 1). With ``forest``, of those only as many as may join the components of the task's
+    rows, nearest first. Rows come sorted by block; a block has about twice ``BLOCK`` rows."""
+
+    def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: list[pa.RecordBatch] = []
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while above.get(x, x) != x:
+                above[x] = x = above.get(above[x], above[x])
+            return x
+
+        def compare(table: pa.Table) -> pa.RecordBatch:
+            group, low, high, doc, n, comp, side = (table.column(c).to_numpy() for c in ("grp", "low", "high", "doc_id", "n_shingles", "component", "side"))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, FILTER_WORDS)
+            cuts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+            found = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                right = x + np.flatnonzero(side[x:y] != 0)
+                for i in x + np.flatnonzero(side[x:y] != 1):
+                    other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (side[i] != 2))]
+                    if forest and len(other):
+                        mine = top(int(comp[i]))
+                        other = other[[top(int(c)) != mine for c in comp[other]]]
+                    if not len(other):
+                        continue
+                    far = np.bitwise_count(sketch[i] ^ sketch[other]).sum(-1)
+                    keep = close(sketch[i], sketch[other], n[i], n[other])
+                    other, far = other[keep], far[keep]
+                    for k in other[np.argsort(far, kind="stable")]:
+                        if forest:
+                            one, two = top(int(comp[i])), top(int(comp[k]))
+                            if one == two:
+                                continue
+                            above[max(one, two)] = min(one, two)
+                        found.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
+            pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-    def compare(table: pa.Table) -> pa.RecordBatch:
-        group, low, high, doc, n, comp, side = (table.column(c).to_numpy() for c in ("grp", "low", "high", "doc_id", "n_shingles", "component", "side"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, FILTER_WORDS)
-        cuts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
-        found = []
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            right = x + np.flatnonzero(side[x:y] != 0)
-            for i in x + np.flatnonzero(side[x:y] != 1):
-                other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (side[i] != 2))]
-                if len(other):
-                    other = other[close(sketch[i], sketch[other], n[i], n[other])]
-                    found += [(min(doc[i], doc[k]), max(doc[i], doc[k])) for k in other]
-        pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            group, low, high = (table.column(c).to_numpy() for c in ("grp", "low", "high"))
+            last = int(np.argmax((group == group[-1]) & (low == low[-1]) & (high == high[-1])))
+            if last:
+                yield compare(table.slice(0, last))
+            held = table.slice(last).to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held))
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([*held, batch])
-        group, low, high = (table.column(c).to_numpy() for c in ("grp", "low", "high"))
-        open_ = (group == group[-1]) & (low == low[-1]) & (high == high[-1])
-        last = int(np.argmax(open_))
-        if last:
-            yield compare(table.slice(0, last))
-        held = table.slice(last).to_batches()
-    if held:
-        yield compare(pa.Table.from_batches(held))
+    return compare_blocks
 
 
 def verify_stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,7 +409,7 @@ def close_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(keep_close, PAIRS)
 
 
-def rest_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+def rest_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
     """Close pairs within groups whose documents are not yet all in one component."""
     made = store(members.where("level = 0").select(F.col("grp").alias("made"), F.col("member").alias("sid")).distinct(), "jaccard-made")
     inner = members.where("level = 1").select("grp", "member").join(small_side(made), F.col("member") == F.col("made"), "left")
@@ -417,7 +441,7 @@ def rest_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFr
     n = partitions(members.sparkSession)
     return (
         dealt.repartition(n, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
-        .mapInArrow(compare_blocks, PAIRS).distinct()
+        .mapInArrow(block_comparer(forest), PAIRS).distinct()
     )
 
 
@@ -460,11 +484,15 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     links = store(verify(docs, store(close_pairs(stars, classes), "jaccard-stars")), "jaccard-links")
     labels = components(links, "jaccard")
-    rest = store(rest_pairs(members, classes, labels), "jaccard-more")
-    if not rest.isEmpty():
+    # first as few pairs as may join what is close, then every close pair that is left
+    for forest in (True, False):
+        rest = store(rest_pairs(members, classes, labels, forest), "jaccard-more")
+        if rest.isEmpty():
+            break
         more = store(verify(docs, rest), "jaccard-links")
         if not more.isEmpty():
-            labels = components(links.union(more), "jaccard")
+            links = links.union(more)
+            labels = components(links, "jaccard")
     return summary.join(classes.select(F.col("sid").alias("set1"), "set2", F.col("doc_id").alias("rep")), ["set1", "set2"], "left"), labels
 
 
