@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airsense.llm.tables import read, small_side
+from airsense.llm.tables import partitions, read, small_side
 from airsense.sources.stored import store
 
 SAMPLES = 16
 #: Ids up to which the order of documents is broadcast (24 bytes each).
 ORDER_ROWS = 400_000
 RANGES = 128
+SPREAD = 4
 
 
 def terms(text: Column) -> Column:
@@ -39,12 +40,13 @@ def sample(word: Column, weight: Column, k: int) -> Column:
 
 def signatures(pieces: DataFrame, kinds: int) -> DataFrame:
     """``pieces`` (doc_id, kind, word) to one row per document with samples s{kind}_{k}; kinds from
-    ``kinds`` on are no text but a value to carry."""
+    ``kinds`` on are no text but 64 hexadecimal digits to carry, as eight longs."""
     counted = pieces.where("word <> ''").groupBy("doc_id", "kind", "word").agg(F.count("*").cast("double").alias("n"))
     sampled = counted.select("doc_id", "kind", "word", *(sample(F.col("word"), F.col("n"), k).alias(f"s{k}") for k in range(SAMPLES)))
     return sampled.groupBy("doc_id").agg(
         *(F.min(F.when(F.col("kind") == kind, F.col(f"s{k}"))).alias(f"s{kind}_{k}") for kind in range(kinds) for k in range(SAMPLES)),
-        F.max(F.when(F.col("kind") == kinds, F.col("word"))).alias("carried"),
+        # longs, so that the aggregate stays a hash aggregate
+        *(F.max(F.when(F.col("kind") == kinds, F.conv(F.substring("word", 8 * j + 1, 8), 16, 10).cast("long"))).alias(f"carried{j}") for j in range(8)),
     )
 
 
@@ -91,14 +93,17 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         .select("doc_id", third.alias("third"), F.substring("text", F.lit(1), third).alias("given"))
     )
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("third")), "given")
-    both = docs.join(given, "doc_id").select("doc_id", "text", edited.alias("edited"))
+    # more partitions than usual: each counts its documents' words in memory
+    n = SPREAD * partitions(docs.sparkSession)
+    both = docs.repartition(n, "doc_id").join(given.repartition(n, "doc_id"), "doc_id").select("doc_id", "text", edited.alias("edited"))
     kinds = F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")),
         F.struct(F.lit(2).alias("kind"), F.sha2("edited", 256).alias("text")),
     )).alias("p")
     pieces = both.select("doc_id", kinds).select("doc_id", "p.kind", F.explode(terms(F.col("p.text"))).alias("word"))
+    sha = F.lower(F.concat(*(F.lpad(F.hex(f"carried{j}"), 8, "0") for j in range(8))))
     rows = store(
-        signatures(pieces, 2).select("doc_id", F.col("carried").alias("edited_sha256"), printed(0).alias("fingerprint"), printed(1).alias("edited_fingerprint")),
+        signatures(pieces, 2).select("doc_id", sha.alias("edited_sha256"), printed(0).alias("fingerprint"), printed(1).alias("edited_fingerprint")),
         "fingerprints",
     )
     placed = rows.join(order, "doc_id")
