@@ -27,26 +27,35 @@ def terms(text: Column) -> Column:
     return F.split(F.translate(text, "\t\n\r\x0b\x0c", "     "), " ")
 
 
-def sample(word: Column, weight: Column, k: int) -> Column:
-    one, two = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
+def sample(term: Column, log_weight: Column, k: Column) -> Column:
+    """The k-th sample's rank and identity for a term, given as a hash."""
+    one, two = F.xxhash64(term, k), F.xxhash64(term, k + 1000)
     uniform = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + 0.5) / float(1 << bits)
     r = -F.log(uniform(one, 0, 21) * uniform(one, 21, 21))
     b = uniform(one, 42, 21)
     c = -F.log(uniform(two, 0, 31) * uniform(two, 31, 31))
-    t = F.floor(F.log(weight) / r + b)
+    t = F.floor(log_weight / r + b)
     rank = F.log(c) - r * (t - b) - r
-    return F.shiftleft(F.floor((rank + 128.0) * float(1 << 24)).cast("long"), 30).bitwiseOR(F.xxhash64(word, t, F.lit(k)).bitwiseAND(F.lit((1 << 30) - 1)))
+    return F.shiftleft(F.floor((rank + 128.0) * float(1 << 24)).cast("long"), 30).bitwiseOR(F.xxhash64(term, t, k).bitwiseAND(F.lit((1 << 30) - 1)))
 
 
 def signatures(pieces: DataFrame, kinds: int) -> DataFrame:
-    """``pieces`` (doc_id, kind, word) to one row per document with samples s{kind}_{k}; kinds from
-    ``kinds`` on are no text but 64 hexadecimal digits to carry, as eight longs."""
+    """``pieces`` (doc_id, kind, word) to one row per document with samples s{kind}_{k}. The kind
+    ``kinds`` is no text but 64 hexadecimal digits to carry, as the eight longs carried{j}.
+
+    Samples are rows, not columns: sixteen of these expressions in one generated method are more
+    than the JVM compiles.
+    """
+    carried = F.col("kind") == kinds
     counted = pieces.where("word <> ''").groupBy("doc_id", "kind", "word").agg(F.count("*").cast("double").alias("n"))
-    sampled = counted.select("doc_id", "kind", "word", *(sample(F.col("word"), F.col("n"), k).alias(f"s{k}") for k in range(SAMPLES)))
-    return sampled.groupBy("doc_id").agg(
-        *(F.min(F.when(F.col("kind") == kind, F.col(f"s{k}"))).alias(f"s{kind}_{k}") for kind in range(kinds) for k in range(SAMPLES)),
-        # longs, so that the aggregate stays a hash aggregate
-        *(F.max(F.when(F.col("kind") == kinds, F.conv(F.substring("word", 8 * j + 1, 8), 16, 10).cast("long"))).alias(f"carried{j}") for j in range(8)),
+    number = F.explode(F.when(carried, F.array(*map(F.lit, range(8)))).otherwise(F.array(*map(F.lit, range(SAMPLES))))).alias("k")
+    rows = counted.select("doc_id", "kind", F.xxhash64("word").alias("term"), F.log("n").alias("log_weight"), F.when(carried, F.col("word")).alias("digits"), number)
+    value = F.when(carried, F.conv(F.substring(F.col("digits"), 8 * F.col("k") + 1, F.lit(8)), 16, 10).cast("long")).otherwise(sample(F.col("term"), F.col("log_weight"), F.col("k")))
+    least = rows.select("doc_id", "kind", "k", value.alias("value")).groupBy("doc_id", "kind", "k").agg(F.min("value").alias("value"))
+    pick = lambda kind, k: F.min(F.when((F.col("kind") == kind) & (F.col("k") == k), F.col("value")))
+    return least.groupBy("doc_id").agg(
+        *(pick(kind, k).alias(f"s{kind}_{k}") for kind in range(kinds) for k in range(SAMPLES)),
+        *(pick(kinds, j).alias(f"carried{j}") for j in range(8)),
     )
 
 
