@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airsense.functions.domain import BLANKS, title_case
@@ -15,7 +15,6 @@ from airsense.sources.stored import as_lookup
 POLLUTANTS = ("pm25", "no2", "o3", "so2", "co", "benzene")
 WHISKER_REACH = 1.5
 SEASON_ORDER = ("Winter", "Spring", "Summer", "Fall")
-DENSITY_RANGE = (0, 200)
 UNHEALTHY_PM25 = 35.4
 # ---- end of fixed values ----
 
@@ -109,30 +108,17 @@ def season_hour_pivot(df: DataFrame) -> DataFrame:
 
 
 def inversion_histogram(df: DataFrame, width: int = 5) -> DataFrame:
-    """PM2.5 histogram over 0..200 per inversion flag, with the share of the whole class."""
-    low, high = DENSITY_RANGE
-    counted = df.where(F.col("temp_inversion").isin(0, 1) & F.col("pm25").isNotNull())
-    bins = counted.groupBy(
-        "temp_inversion",
-        F.when(
-            F.col("pm25").between(low, high), (F.floor(F.col("pm25") / width) * width).cast("int")
-        ).alias("bin_start"),
-    ).agg(
+    """PM2.5 histogram per inversion flag, with the share of the whole class: shares of a class add
+    up to 1. A reading without PM2.5 falls into the bin null."""
+    start = (F.floor(F.col("pm25") / width) * width).cast("int")
+    bins = df.groupBy("temp_inversion", start.alias("bin_start")).agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("pm25") > UNHEALTHY_PM25).alias("unhealthy_rows"),
     )
-    # The bins are few (two classes, about forty ranges and one for values out of range).
-    classes = bins.groupBy("temp_inversion").agg(F.sum("rows").alias("class_rows"))
-    return (
-        bins.where("bin_start is not null")
-        .join(F.broadcast(classes), "temp_inversion")
-        .select(
-            "temp_inversion",
-            "bin_start",
-            "rows",
-            rnd(F.col("rows") / F.col("class_rows"), 6).alias("share"),
-            "unhealthy_rows",
-        )
+    # a window over the few bins of a class, not over its rows
+    whole = F.sum("rows").over(Window.partitionBy("temp_inversion"))
+    return bins.select(
+        "temp_inversion", "bin_start", "rows", rnd(F.col("rows") / whole, 6).alias("share"), "unhealthy_rows"
     )
 
 

@@ -836,10 +836,9 @@ ORACLES["season_hour_pivot"] = over(
 ORACLES["inversion_histogram"] = over(
     READINGS,
     f"""SELECT temp_inversion, cast(floor(pm25 / 5) * 5 as int) AS bin_start, count(*) AS "rows",
- {r('cast(count(*) as double) / any_value(n)', 6)} AS share,
+ {r('cast(count(*) as double) / sum(count(*)) OVER (PARTITION BY temp_inversion)', 6)} AS share,
  count(*) FILTER (WHERE pm25 > 35.4e0) AS unhealthy_rows
- FROM readings JOIN (SELECT temp_inversion, count(*) AS n FROM readings GROUP BY 1) USING (temp_inversion)
- WHERE pm25 BETWEEN 0 AND 200 GROUP BY 1, 2""",
+FROM readings GROUP BY 1, 2""",
 )
 ORACLES["inversion_summary"] = over(
     READINGS,
@@ -860,9 +859,7 @@ ORACLES["stream_hourly"] = over(
     SCORED_RAW,
     f"""SELECT "timestamp" AS window_start, count(*) AS "rows", {r('avg(aqi)', 2)} AS avg_aqi,
  {r('avg(total_alerts)', 2)} AS avg_total_alerts, {r('max(max_risk_prob)', 4)} AS max_risk_prob,
- count(*) FILTER (WHERE total_alerts > 0) AS active_rows FROM scored
- WHERE "timestamp" + interval 1 hour <= (SELECT max("timestamp") - interval 2 hour FROM scored)
- GROUP BY 1""",
+ count(*) FILTER (WHERE total_alerts > 0) AS active_rows FROM scored GROUP BY 1""",
 )
 ORACLES["stream_first_per_reading"] = over(
     READINGS,

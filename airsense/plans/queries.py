@@ -23,7 +23,6 @@ from airsense.sources.driver_tables import (
 )
 from airsense.sources.readings import read_readings, write_table
 from airsense.sources.stored import new_path, store
-from airsense.sources.synthetic import synthetic_readings
 from airsense.streaming import ingest, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -394,11 +393,6 @@ def csv_round_trip(spark, sf_dir):
     return read_readings(spark, path)
 
 
-@query
-def synthetic_sample(spark, sf_dir):
-    return synthetic_readings(events(spark, sf_dir).select("event_id"), "event_id", newest=now())
-
-
 # ---- scoring ----
 
 
@@ -666,12 +660,36 @@ def inversion_summary(spark, sf_dir):
 # ---- streams: the events table read as a file stream until it is exhausted ----
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        spark.readStream.schema(events(spark, sf_dir).schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream, be it one file or a folder of part files."""
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(events(spark, sf_dir).schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if any(name.endswith("/events.parquet") for name in spark.read.parquet(path).inputFiles()):
+        return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return reader.parquet(path)
+
+
+def drain_updates(stream: DataFrame, spark: SparkSession, name: str, key: str) -> DataFrame:
+    """Run an update stream to its end; of every key, the row of the last batch that gave it out.
+
+    A batch that is run again replaces its own folder.
+    """
+    folder = new_path(spark, name)
+    running = (
+        stream.writeStream.foreachBatch(
+            lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/table/batch={batch:09d}")
+        )
+        .option("checkpointLocation", f"{folder}/progress")
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
     )
+    running.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/table")
+    last = F.max_by(F.struct(*stream.columns), "batch").alias("row")
+    return rows.groupBy(F.col(key).alias("key")).agg(last).select("row.*")
 
 
 def drain(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
@@ -712,7 +730,7 @@ def stream_ingest(spark, sf_dir):
 @query
 def stream_hourly(spark, sf_dir):
     rows = readings_from_events(event_stream(spark, sf_dir))
-    return drain(windows.hourly_timeline(add_fixture_scores(rows)), spark, "hourly")
+    return drain_updates(windows.hourly_timeline(add_fixture_scores(rows)), spark, "hourly", "window_start")
 
 
 @query
@@ -720,7 +738,8 @@ def stream_first_per_reading(spark, sf_dir):
     rows = readings_from_events(event_stream(spark, sf_dir)).select(
         source_number().cast("string").alias("reading_id"), "timestamp", "station_id"
     )
-    return drain(windows.first_per_reading(rows), spark, "first")
+    # the table covers a month; a reading of any day may still come
+    return drain(windows.first_per_reading(rows, "62 days"), spark, "first")
 
 
 @query

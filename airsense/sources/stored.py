@@ -6,7 +6,6 @@ recomputing a wide shuffle) and, unlike a row-based checkpoint, lets every later
 the columns it needs.
 """
 
-import tempfile
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 
 SMALL_TABLE_ROWS = 10_000
 
-_local_folders: dict[str, str] = {}
+#: Where stored tables go in local mode if ``spark.checkpoint.dir`` is unset.
+LOCAL_FOLDER = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,9 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
         return f"{configured.rstrip('/')}/airsense/{app}"
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="airsense-")
-    return _local_folders[app]
+    return f"{LOCAL_FOLDER}/airsense/{app}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

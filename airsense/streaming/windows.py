@@ -6,11 +6,18 @@ from pyspark.sql import functions as F
 from airsense.functions.numeric import rnd
 
 
-def hourly_timeline(scored: DataFrame, lateness: str = "2 hours", width: str = "1 hour") -> DataFrame:
-    """Timeline figures per tumbling window; a window is final once the watermark passes it."""
+def hourly_timeline(
+    scored: DataFrame, lateness: str | None = None, width: str = "1 hour"
+) -> DataFrame:
+    """Timeline figures per tumbling window.
+
+    Without ``lateness`` no row is ever too late: state is one row per window, and a stream in
+    update mode gives out every window that changed. With it, a window is final once the watermark
+    passes it, and later rows are left out.
+    """
+    rows = scored.withWatermark("timestamp", lateness) if lateness else scored
     return (
-        scored.withWatermark("timestamp", lateness)
-        .groupBy(F.window("timestamp", width))
+        rows.groupBy(F.window("timestamp", width))
         .agg(
             F.count("*").alias("rows"),
             rnd(F.avg("aqi"), 2).alias("avg_aqi"),

@@ -41,6 +41,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_CHECKPOINTS", "/tmp/checkpoints/bench"))
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

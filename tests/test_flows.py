@@ -14,7 +14,6 @@ from airsense.schema import (
 )
 from airsense.sources import artifacts, history
 from airsense.sources.driver_tables import add_fixture_scores
-from airsense.sources.synthetic import numbered_rows, synthetic_form_rows, synthetic_readings
 from airsense.streaming import ingest
 
 GOOD = dict.fromkeys(LIVE_REQUIRED_COLUMNS, 1) | {
@@ -92,13 +91,6 @@ def test_form_defaults(spark):
     assert (row["pressure_hpa"], row["station_id"], row["near_highway"]) == (1013.0, "BATCH_AUTO", 0)
 
 
-def test_synthetic_rows_feed_the_pipeline(spark):
-    rows = synthetic_readings(numbered_rows(spark, 300), "row_number")
-    assert features.build_feature_frame(clean.preprocess(rows)).count() == 300
-    form = synthetic_form_rows(numbered_rows(spark, 100), "row_number")
-    assert len(form.columns) == 8 and form.where("aqi < 0 or pm10 < 0").isEmpty()
-
-
 @pytest.fixture
 def landing(spark, tmp_path, raw):
     """Payload files arriving one after the other; the second repeats ids of the first."""

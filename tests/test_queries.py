@@ -5,8 +5,8 @@ from compare import differences, duck
 
 import __spark_entry__ as driver
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
-ROWS_ONLY = {"synthetic_sample", "dashboard_snapshot", "train_and_score"}
+QUERIES, ORACLES = driver.QUERIES, driver.ORACLES
+ROWS_ONLY = {"dashboard_snapshot", "train_and_score"}
 
 
 @pytest.fixture(scope="module")
@@ -24,17 +24,6 @@ def test_query_matches_sql(spark, connection, sf_dir, name):
     assert differences(spark, connection, QUERIES[name], ORACLES[name], sf_dir) == []
 
 
-def test_synthetic_sample_has_one_row_per_event(spark, sf_dir):
-    from airsense.sources.driver_tables import events
-
-    first = QUERIES["synthetic_sample"](spark, sf_dir)
-    again = QUERIES["synthetic_sample"](spark, sf_dir).repartition(5)
-    assert first.count() == events(spark, sf_dir).count()
-    assert first.exceptAll(again).isEmpty()
-    low = first.where("pm10 < pm25").count() / first.count()
-    assert 0.12 < low < 0.4
-
-
 def test_snapshot_sections(spark, sf_dir):
     rows = QUERIES["dashboard_snapshot"](spark, sf_dir).groupBy("section").count().collect()
     counts = {r["section"]: r["count"] for r in rows}
@@ -48,3 +37,22 @@ def test_entry(spark):
     result = driver.entry(spark)
     assert result.count() == 6
     assert "max_risk_prob" in result.columns
+
+
+@pytest.mark.parametrize("name", ["stream_hourly", "stream_first_per_reading"])
+def test_streams_are_the_same_on_part_files(spark, sf_dir, tmp_path, name, monkeypatch):
+    from airsense.plans import queries
+
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    one = QUERIES[name](spark, sf_dir)
+    folder = QUERIES[name](spark, str(tmp_path))
+    assert one.exceptAll(folder).isEmpty() and folder.exceptAll(one).isEmpty() and not one.isEmpty()
+    plain = queries.event_stream
+    monkeypatch.setattr(queries, "event_stream", lambda s, d: plain(s, d, 1))
+    single = QUERIES[name](spark, str(tmp_path))
+    assert one.exceptAll(single).isEmpty() and single.exceptAll(one).isEmpty()
+
+
+def test_histogram_shares_are_whole(spark, sf_dir):
+    rows = QUERIES["inversion_histogram"](spark, sf_dir).groupBy("temp_inversion").agg({"share": "sum"}).collect()
+    assert all(abs(r[1] - 1) < 1e-4 for r in rows)
