@@ -409,9 +409,9 @@ def close_pairs(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(keep_close, PAIRS)
 
 
-def rest_pairs(members: DataFrame, reps: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
-    """Close pairs within groups whose documents are not yet all in one component."""
-    made = store(members.where("level = 0").select(F.col("grp").alias("made"), F.col("member").alias("sid")).distinct(), "jaccard-made")
+def rest_pairs(members: DataFrame, made: DataFrame, reps: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+    """Close pairs within groups whose documents are not yet all in one component. ``made``: the
+    sets of the groups that gatherings made."""
     inner = members.where("level = 1").select("grp", "member").join(small_side(made), F.col("member") == F.col("made"), "left")
     known = store(
         reps.select("sid", "doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -484,9 +484,10 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     links = store(verify(docs, store(close_pairs(stars, classes), "jaccard-stars")), "jaccard-links")
     labels = components(links, "jaccard")
+    made = store(members.where("level = 0").select(F.col("grp").alias("made"), F.col("member").alias("sid")).distinct(), "jaccard-made")
     # first as few pairs as may join what is close, then every close pair that is left
     for forest in (True, False):
-        rest = store(rest_pairs(members, classes, labels, forest), "jaccard-more")
+        rest = store(rest_pairs(members, made, classes, labels, forest), "jaccard-more")
         if rest.isEmpty():
             break
         more = store(verify(docs, rest), "jaccard-links")

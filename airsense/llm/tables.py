@@ -33,7 +33,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
 
     Each round gives every node the smallest label among its neighbours, then follows labels once
     (a label is itself a node), so that the number of rounds grows with the logarithm of a chain's
-    length. Rounds are stored tables; only a count of changes reaches the driver.
+    length. Rounds are stored tables; only a count of changes reaches the driver. Labels of a
+    counted, small number of nodes are broadcast, so that such a round shuffles once.
     """
     both = store(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
     labels = store(
@@ -41,14 +42,15 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
         f"{name}-labels",
     )
     for _ in range(rounds):
+        known = small_side(labels)
         near = (
-            both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+            both.join(known, both.b == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
             .withColumnRenamed("a", "node")
         )
-        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = lower.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        lower = near.join(known, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        jump = small_side(labels.select(F.col("node").alias("component"), F.col("component").alias("further")))
         new = store(
-            lower.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")),
+            lower.join(jump, "component").select("node", "old", F.least("component", "further").alias("component")),
             f"{name}-labels",
         )
         labels = new.select("node", "component")
