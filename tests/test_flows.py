@@ -182,6 +182,8 @@ def test_train_save_load_score(spark, tmp_path, raw):
     assert model.summary["selected_metrics"]["f1_macro"] > 0.5
     folder = str(tmp_path / "model")
     save_model(spark, model, folder)
+    assert load_model(spark, folder).feature_columns == model.feature_columns
+    artifacts.write_document(spark, ["aqi", "column of an older model"], f"{folder}/feature_columns.json")
     loaded = load_model(spark, folder)
     assert loaded.name == model.name and dict(loaded.thresholds) == dict(model.thresholds)
     stamp = F.lit(datetime(2024, 2, 1)).cast("timestamp")
