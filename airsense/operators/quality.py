@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from airsense.functions.domain import SEASONS, aqi_from_pm25
 from airsense.functions.numeric import flag, rnd
-from airsense.operators.quantiles import exact_quantiles, long_values
+from airsense.operators.quantiles import exact_quantiles
+from airsense.sources.stored import as_lookup
 
 # ---- fixed values ----
 EXTREME_GAS = 200
@@ -70,15 +71,30 @@ def _long(one_row: DataFrame, entries: Sequence[Sequence[tuple[str, Column]]]) -
     return one_row.select(F.inline(F.array(*structs)))
 
 
+def content_digest(df: DataFrame) -> Column:
+    """SHA-256 of all columns but the id: equal for rows that grouping would put together."""
+
+    def plain(field: T.StructField) -> Column:
+        column = F.col(field.name)
+        if isinstance(field.dataType, T.TimestampType):
+            return F.unix_micros(column).alias(field.name)
+        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+            return (column + F.lit(0.0)).alias(field.name)  # one zero, not two
+        return column
+
+    content = [plain(f) for f in df.schema.fields if f.name != "reading_id"]
+    return F.unhex(F.sha2(F.to_json(F.struct(*content)), 256))
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """Row count, full-row duplicates and duplicates ignoring the id, in one chain.
 
-    Exact copies collapse before the first shuffle and copies under other ids before the second,
-    so neither kind of hot group travels as rows.
+    Rows travel as a digest and an id. Exact copies collapse before the first shuffle and copies
+    under other ids before the second, so neither kind of hot group travels as rows.
     """
-    content = [c for c in df.columns if c != "reading_id"]
-    rows = df.groupBy(*content, "reading_id").agg(F.count("*").alias("copies"))
-    groups = rows.groupBy(*content).agg(
+    keyed = df.select(content_digest(df).alias("digest"), "reading_id")
+    rows = keyed.groupBy("digest", "reading_id").agg(F.count("*").alias("copies"))
+    groups = rows.groupBy("digest").agg(
         F.sum("copies").alias("copies"), F.count("*").alias("distinct_rows")
     )
     return groups.agg(
@@ -141,26 +157,14 @@ def problem_rows(df: DataFrame) -> DataFrame:
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every member of each group equal on all but the id, with the size of its group.
 
-    Group sizes come from a grouping and are joined back; a group holding a large share of the
-    rows meets one row on the other side, which a skew join can split freely.
+    Sizes are counted per digest, and the digests that repeat are joined back: broadcast where they
+    are few, so that no row is moved, else by one shuffle, in which a skew join can split a group
+    that holds a large share of the rows, since it meets one row on the other side.
     """
-    content = [c for c in df.columns if c != "reading_id"]
-    hashed = df.withColumn("row_hash", F.xxhash64(*content))
-    sizes = (
-        hashed.groupBy("row_hash", *content)
-        .agg(F.count("*").alias("group_size"))
-        .where("group_size > 1")
-    )
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col("l.row_hash") == F.col("r.row_hash")]
-        + [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in content],
-    )
-    return (
-        hashed.alias("l")
-        .join(sizes.alias("r"), same)
-        .select(*[F.col(f"l.{c}") for c in df.columns], F.col("r.group_size"))
-    )
+    hashed = df.withColumn("digest", content_digest(df))
+    sizes = hashed.groupBy("digest").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    repeated = as_lookup(sizes, "repeated-digests")
+    return hashed.join(repeated.side(), "digest").select(*df.columns, "group_size")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -170,17 +174,13 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of the numeric columns."""
     columns = list(columns or numeric_columns(df))
-    basics = (
-        long_values(df, (), columns)
-        .groupBy("column_name")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
+    names = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    value = {c: F.col(c).cast("double") for c in columns}
+    counted = df.agg(*[f(value[c]).alias(f"{name}_{c}") for c in columns for name, f in names.items()])
+    basics = _long(
+        counted,
+        [[("column_name", F.lit(c)), *[(n, F.col(f"{n}_{c}")) for n in names]] for c in columns],
+    ).where("count > 0")
     quartiles = (
         exact_quantiles(df, (), columns, QUARTILES)
         .groupBy("column_name")

@@ -89,3 +89,13 @@ def test_timeline_filters_the_scan(raw):
     assert "Subquery" in plan
     assert re.search(r"PushedFilters: \[.*timestamp", plan)
     assert monitoring.build_timeline(scored).agg(F.count("*")).first()[0] == 24
+
+
+def test_duplicates_move_no_wide_rows(raw):
+    """What is shuffled is a digest, an id and counts, never the columns of a reading."""
+    from airsense.operators import quality
+
+    for df in (quality.duplicate_counts(raw), quality.duplicate_groups(raw)):
+        plan = plan_of(df)
+        exchanges = [part.split("\n\n")[0] for part in plan.split(") Exchange\n")[1:]]
+        assert all("pm25" not in e and "pressure_hpa" not in e for e in exchanges)
