@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsense.functions.numeric import flag, rnd, total
-from airsense.operators.ordered import ROWS_PER_CHUNK, cut_points, order_key, rows_at
-from airsense.operators.quantiles import exact_quantiles, long_values
+from airsense.operators.ordered import ROWS_PER_CHUNK, order_key, rows_at
+from airsense.operators.quantiles import exact_quantiles
 from airsense.schema import ALERTS, LABELS, PROBS
 from airsense.sources.stored import as_lookup
 
@@ -53,7 +53,7 @@ def time_split(
     key = order_key(*SPLIT_ORDER)
     rows = df.count()
     starts = split_sizes(rows, test_share, validation_share, validation_minimum)
-    bounds = rows_at(df, key, starts, cut_points(df, key, rows_per_chunk, rows))
+    bounds = rows_at(df, SPLIT_ORDER, starts, rows_per_chunk)
 
     def before(bound) -> Column:
         return F.lit(True) if bound is None else key < _literal_key(bound)
@@ -294,20 +294,43 @@ def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column_name, median, mean, scale`` with mean and population deviation after filling nulls
     by the median; a constant column gets scale 1. A column without any value counts as 0."""
     medians = exact_quantiles(df, (), columns, (0.5,)).select(
-        "column_name", F.col("quantile").alias("median")
+        "column_name", F.col("quantile").alias("found")
     )
     known = as_lookup(medians, "column-medians")
-    filled = long_values(df, (), columns).join(known.side(), "column_name", "left")
-    median = F.coalesce("median", F.lit(0.0))
-    value = F.coalesce(F.col("value"), median)
+    counted = df.agg(
+        F.count("*").alias("rows"),
+        *[
+            f(F.col(c).cast("double")).alias(f"{name}_{c}")
+            for c in columns
+            for name, f in (
+                ("n", F.count), ("avg", F.avg), ("var", F.var_pop), ("low", F.min), ("high", F.max),
+            )
+        ],
+    )
+    per_column = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.col("rows"),
+            *[F.coalesce(f"{x}_{c}", F.lit(0.0)).alias(x) for x in ("n", "avg", "var", "low", "high")],
+        )
+        for c in columns
+    ]
+    # The filled column is the known values and (rows - n) copies of the median, put together.
+    n, rows, median = F.col("n"), F.col("rows"), F.col("median")
+    spread = n * F.col("var") + n * (F.col("avg") - F.col("mean")) ** 2 + (rows - n) * (median - F.col("mean")) ** 2
     return (
-        filled.groupBy("column_name", median.alias("median"))
-        .agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+        counted.where("rows > 0")
+        .select(F.inline(F.array(*per_column)))
+        .join(known.side(), "column_name", "left")
+        .withColumn("median", F.coalesce("found", F.lit(0.0)))
+        .withColumn("mean", (n * F.col("avg") + (rows - n) * median) / rows)
+        .withColumn("deviation", F.sqrt(spread / rows))
         .select(
             "column_name",
             "median",
             "mean",
-            F.when(F.col("deviation") > 0, F.col("deviation")).otherwise(F.lit(1.0)).alias("scale"),
+            # Decided by the extremes: sums leave a trace of rounding in a constant column.
+            F.when(F.col("low") < F.col("high"), F.col("deviation")).otherwise(F.lit(1.0)).alias("scale"),
         )
     )
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airsense.operators import clean, eda, evaluation, features, monitoring, quality
-from airsense.operators.ordered import chunk_of, cut_points, order_key, rows_at
+from airsense.operators.ordered import order_key, rows_at, with_chunks
 from airsense.operators.quantiles import exact_quantiles
 from airsense.schema import ROLLING_FEATURES
 from airsense.sources import stored
@@ -41,12 +41,13 @@ def test_chunked_rolling_equals_one_window(hot, rows_per_chunk):
     assert cut.exceptAll(whole).isEmpty()
 
 
-def test_rolling_equals_pandas(hot):
+@pytest.mark.parametrize("rows_per_chunk", [30, 400, 1_000_000])
+def test_rolling_equals_pandas(hot, rows_per_chunk):
     pdf = hot.toPandas().sort_values(["station_id", "timestamp", "reading_id"], na_position="last")
     grouped = pdf.groupby("station_id")
     expected = dict(zip(pdf["reading_id"], grouped["no2"].transform(lambda v: v.rolling(3, min_periods=1).mean())))
     lagged = dict(zip(pdf["reading_id"], grouped["no2"].shift(1)))
-    for r in features.add_rolling_features(hot, 100).collect():
+    for r in features.add_rolling_features(hot, rows_per_chunk).collect():
         assert r["no2_roll3_mean"] == pytest.approx(expected[r["reading_id"]], abs=0.00501)
         if r["no2_lag1"] is None:
             assert np.isnan(lagged[r["reading_id"]])
@@ -54,17 +55,26 @@ def test_rolling_equals_pandas(hot):
             assert r["no2_lag1"] == lagged[r["reading_id"]]
 
 
-def test_chunks_are_even_and_ordered(hot):
+def test_chunks_are_small_and_runs_of_neighbours(hot):
+    placed = with_chunks(hot, ["station_id"], ["timestamp", "reading_id"], 300)
+    assert placed.count() == hot.count()
+    assert max(r["count"] for r in placed.groupBy("station_id", "chunk").count().collect()) <= 300
     key = order_key("station_id", "timestamp", "reading_id")
-    cuts = cut_points(hot, key, 300)
-    placed = hot.select(key.alias("key")).withColumn("chunk", chunk_of(F.col("key"), cuts)).persist()
-    sizes = [r["count"] for r in placed.groupBy("chunk").count().collect()]
-    assert len(sizes) == 20 and max(sizes) < 900
-    bounds = placed.groupBy("chunk").agg(F.min("key").alias("a"), F.max("key").alias("b")).orderBy("chunk").collect()
-    ordered = [k["key"] for k in placed.orderBy("key").select("key").collect()]
-    place = {tuple(k): i for i, k in enumerate(ordered)}
-    ends = [(place[tuple(r["a"])], place[tuple(r["b"])]) for r in bounds]
-    assert all(left[1] < right[0] for left, right in zip(ends, ends[1:]))
+    along = [(r["station_id"], r["chunk"]) for r in placed.orderBy(key).collect()]
+    starts = [a for a, b in zip(along, [None, *along]) if a != b]
+    assert len(starts) == len(set(starts))
+
+
+def test_copies_of_one_key_end_the_splitting(spark):
+    rows = spark.range(50).selectExpr(
+        "'R1' AS reading_id", "'s' AS station_id", "timestamp '2024-01-05' AS timestamp", "id * 1.0 AS pm25",
+        "id * 1.0 AS no2", "1 AS aqi",
+    )
+    assert features.add_rolling_features(rows, 10).count() == 50
+    key = rows_at(rows, ["timestamp", "station_id", "reading_id"], (0, 49, 50), 10)
+    assert [k and k["reading_id"] for k in key] == ["R1", "R1", None]
+    assert features.add_rolling_features(rows.limit(0)).count() == 0
+    assert rows_at(rows.limit(0), ["timestamp", "station_id", "reading_id"], (0, 1)) == [None, None]
 
 
 def test_rows_at_any_rank(hot):
@@ -72,7 +82,7 @@ def test_rows_at_any_rank(hot):
     ordered = [r[0] for r in hot.select(key.alias("k")).orderBy("k").collect()]
     ranks = (0, 1, 2999, 4321, 5999, 6000)
     for rows_per_chunk in (10_000, 250):
-        found = rows_at(hot, key, ranks, cut_points(hot, key, rows_per_chunk))
+        found = rows_at(hot, ["timestamp", "station_id", "reading_id"], ranks, rows_per_chunk)
         assert [None if f is None else tuple(f) for f in found] == [
             tuple(ordered[r]) if r < 6000 else None for r in ranks
         ]
@@ -108,6 +118,17 @@ def test_large_groups_get_a_finer_sketch(spark):
     assert found["quantile"] == pytest.approx(np.median(df.toPandas()["v"]), rel=1e-12)
 
 
+def test_stats_of_constant_and_empty_columns(spark):
+    df = spark.createDataFrame(
+        [(0.1, None, 1.0), (0.1, None, None), (None, None, 4.0)] * 7, "same double, none double, some double"
+    )
+    found = {r["column_name"]: r for r in evaluation.numeric_stats(df, df.columns).collect()}
+    assert (found["same"]["scale"], found["none"]["scale"], found["none"]["median"]) == (1.0, 1.0, 0.0)
+    filled = df.toPandas()["some"].fillna(2.5)
+    assert found["some"]["mean"] == pytest.approx(filled.mean())
+    assert found["some"]["scale"] == pytest.approx(filled.std(ddof=0))
+
+
 def test_quantiles_skip_nulls_and_unknown_groups(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", None), ("a", 4.0), ("b", None), (None, 9.0)], "g string, v double"
