@@ -805,6 +805,24 @@ ORACLES["category_modes"] = over(
         for c in ("season", "station_id", "station_type")
     ),
 )
+_encoded_numbers = [
+    f"""SELECT reading_id, cast({i} as int) AS place, {r('(v - avg(v) OVER ()) / stddev_pop(v) OVER ()', 6)} AS value
+ FROM (SELECT reading_id, coalesce(cast({c} as double), (SELECT cast(median({c}) as double) FROM readings)) AS v FROM readings)"""
+    for i, c in enumerate(("pm25", "benzene", "visibility_km", "wind_speed_ms"))
+]
+_encoded_categories = [
+    f"""SELECT f.reading_id, cast({start} + k.place as int) AS place, case when f.v = k.v then 1e0 else 0e0 end AS value
+ FROM filled_{c} f, (SELECT v, row_number() OVER (ORDER BY v) - 1 AS place FROM (SELECT DISTINCT v FROM filled_{c})) k"""
+    for c, start in (("season", "4"), ("station_type", "4 + (SELECT count(DISTINCT v) FROM filled_season)"))
+]
+_filled_categories = ", ".join(
+    f"""filled_{c} AS (SELECT reading_id, coalesce({c}, (SELECT {c} FROM readings WHERE {c} IS NOT NULL GROUP BY {c}
+  ORDER BY count(*) DESC, {c} LIMIT 1)) AS v FROM readings)"""
+    for c in ("season", "station_type")
+)
+ORACLES["encoded_vectors"] = over(
+    f"{READINGS}, {_filled_categories}", union([*_encoded_numbers, *_encoded_categories])
+)
 
 # ---- exploration ----
 

@@ -4,13 +4,14 @@ from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsense.functions.domain import aqi_from_pm25, calendar, season_of_month
 from airsense.functions.numeric import rnd
 from airsense.operators import clean, eda, evaluation, features, live, monitoring, quality, scoring
-from airsense.operators.training import SMALL_SETTINGS
+from airsense.operators.training import SMALL_SETTINGS, encode, fit_encoder
 from airsense.plans.pipeline import score_readings, train
 from airsense.schema import (
     ALERTS, CIRCULAR_FEATURES, COMPOSITE_FEATURES, IMPUTED_COLUMNS, LABELS, LIVE_BASE_COLUMNS,
@@ -611,6 +612,18 @@ def category_modes(spark, sf_dir):
     return evaluation.most_frequent(cleaned(spark, sf_dir), ("season", "station_id", "station_type"))
 
 
+ENCODED_COLUMNS = ("pm25", "benzene", "visibility_km", "wind_speed_ms", "season", "station_type")
+
+
+@query
+def encoded_vectors(spark, sf_dir):
+    """The vectors a model sees, an entry a row: numbers filled and standardised, then categories."""
+    rows = readings(spark, sf_dir)
+    encoded = encode(fit_encoder(rows, ENCODED_COLUMNS), rows, ENCODED_COLUMNS)
+    entries = F.posexplode(vector_to_array("features")).alias("place", "value")
+    return rounded(encoded.select("reading_id", entries), ("value",))
+
+
 @query
 def train_and_score(spark, sf_dir):
     """Small candidates trained on the whole table, the best one scoring it."""

@@ -20,6 +20,7 @@ from airsense.sources.artifacts import write_json_rows
 from airsense.sources.history import (
     BATCH_COLUMN, last_write_wins, read_predictions, read_table, write_batch,
 )
+from airsense.sources.stored import store
 
 READINGS, PREDICTIONS, REJECTED, ROLLED, TAILS = (
     "readings", "predictions", "rejected", "rolled", "tails",
@@ -42,7 +43,7 @@ def start_ingest(
 ) -> StreamingQuery:
     """Stream of ``payload`` JSON texts (plus an order column) into the tables under ``folder``.
 
-    ``score`` turns contract rows into scored rows. Readings are stored before they are scored:
+    ``score`` turns contract rows into scored rows and keeps further columns. Readings are stored before they are scored:
     generated ids and filled-in times are then the same in both tables.
     """
 
@@ -56,9 +57,7 @@ def start_ingest(
             f"{folder}/{READINGS}/{BATCH_COLUMN}={batch_id}"
         )
         newest = last_write_wins(stored, order=(order_column, "payload_position"))
-        order = newest.select("reading_id", order_column, "payload_position")
-        scored = score(newest.drop(order_column, "payload_position"))
-        write_batch(scored.join(order, "reading_id"), f"{folder}/{PREDICTIONS}", batch_id)
+        write_batch(score(newest), f"{folder}/{PREDICTIONS}", batch_id)
         parsed.unpersist()
 
     return _start(payloads, folder, "ingest", handle, trigger)
@@ -81,7 +80,8 @@ def refresh_dashboard(
         return last_signature
     signature = data_signature(table).first()[0]
     if signature != last_signature:
-        latest = current(spark, folder, PREDICTIONS, order_column)
+        # Every section of the snapshot reads it: the last writes are picked once.
+        latest = store(current(spark, folder, PREDICTIONS, order_column), "current")
         write_json_rows(build_snapshot(latest, **options), f"{folder}/snapshot")
     return signature
 
