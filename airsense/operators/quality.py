@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 from airsense.functions.domain import SEASONS, aqi_from_pm25
 from airsense.functions.numeric import flag, rnd
 from airsense.operators.quantiles import exact_quantiles
-from airsense.sources.stored import as_lookup
 
 # ---- fixed values ----
 EXTREME_GAS = 200
@@ -157,14 +156,12 @@ def problem_rows(df: DataFrame) -> DataFrame:
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every member of each group equal on all but the id, with the size of its group.
 
-    Sizes are counted per digest, and the digests that repeat are joined back: broadcast where they
-    are few, so that no row is moved, else by one shuffle, in which a skew join can split a group
-    that holds a large share of the rows, since it meets one row on the other side.
+    Sizes are counted per digest and joined back: one shuffle of the rows at most, in which a skew
+    join can split a group that holds a large share of them, since it meets one row on the other side.
     """
     hashed = df.withColumn("digest", content_digest(df))
     sizes = hashed.groupBy("digest").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    repeated = as_lookup(sizes, "repeated-digests")
-    return hashed.join(repeated.side(), "digest").select(*df.columns, "group_size")
+    return hashed.join(sizes, "digest").select(*df.columns, "group_size")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
