@@ -5,8 +5,9 @@ together. Of every run of 137 successive 64-byte strings the one with the smalle
 *anchor*; a 200-byte string holds 137 of them, so equal 200-byte strings hold equal anchors at equal
 places. The span of an anchor is the 336 bytes that all 200-byte strings around it cover.
 
-* Anchors that occur once are dropped, by one shuffle on their hash. Equal anchors with equal spans
-  collapse before that shuffle: all their strings are repeated.
+* Anchors that occur once are dropped, by one shuffle on their hash. Equal anchors at equal places of
+  equal spans collapse before that shuffle: all their strings are repeated. Two equal anchors in one
+  short text may both have the whole text as their span; their places in it keep them apart.
 * What is left per anchor is a small collection of distinct spans. Its occurrences, sorted by what
   follows (a suffix array), form the first interval. Backward extension by one byte at a time, all
   intervals breadth first, splits intervals by the byte before (their Burrows-Wheeler column), so
@@ -96,8 +97,14 @@ def span_ids(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return mix((total[hi] - total[lo]) * inverses[lo] + (hi - lo).astype(np.uint64) * _ODD)
 
 
+def place_ids(data: np.ndarray, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A hash of the span around each anchor and of the anchor's place in it: anchors with equal ids
+    have their equal spans at different places of the corpus."""
+    return mix(span_ids(data, at - before, at + ANCHOR + after) + before.astype(np.uint64) * _ODD)
+
+
 def anchors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, place, hash, span's hash, bytes before, bytes after) in pieces of bounded size. A row
+    """(row, place, hash, hash of span and place in it, bytes before, bytes after) in pieces of bounded size. A row
     longer than a piece is cut into parts that overlap by a string less one byte."""
     data, offsets = column_bytes(column)
     part = 1 << 20
@@ -111,7 +118,7 @@ def anchors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
                 at = at + a
                 lo, hi = max(0, a - REACH), min(n, b + REACH)
                 before, after = np.minimum(at, REACH), np.minimum(n - ANCHOR - at, REACH)
-                c = span_ids(text[lo:hi], at - before - lo, at + ANCHOR + after - lo)
+                c = place_ids(text[lo:hi], at - lo, before, after)
                 yield np.full(len(at), i), at, h, c, before, after
             continue
         text = data[offsets[i] : offsets[j]]
@@ -121,7 +128,7 @@ def anchors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
             size = (local[1:] - local[:-1])[row]
             before, after = np.minimum(at, REACH), np.minimum(size - ANCHOR - at, REACH)
             start = local[row] + at
-            yield row + i, at, h, span_ids(text, start - before, start + ANCHOR + after), before, after
+            yield row + i, at, h, place_ids(text, start, before, after), before, after
 
 
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,6 +223,10 @@ def sort_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     h, c, n, doc, pos, before, after = (x[order] for x in (h, c, n, doc, pos, before, after))
     if not len(h):
         return
+    # parts of a long text may fall into two gatherings, which then both have the anchor
+    head = np.flatnonzero(_heads(h, c, doc, pos))
+    n = np.maximum.reduceat(n, head)
+    h, c, doc, pos, before, after = (x[head] for x in (h, c, doc, pos, before, after))
     first = np.flatnonzero(_heads(h, c))
     length = np.diff(np.append(first, len(h)))
     times = np.add.reduceat(n, first)
