@@ -751,8 +751,8 @@ def stream_first_per_reading(spark, sf_dir):
     rows = readings_from_events(event_stream(spark, sf_dir)).select(
         source_number().cast("string").alias("reading_id"), "timestamp", "station_id"
     )
-    # the table covers a month; a reading of any day may still come
-    return drain(windows.first_per_reading(rows, "62 days"), spark, "first")
+    # every row lands; a reading of any day may still come in a later batch
+    return windows.first_per_reading(drain(rows, spark, "first"))
 
 
 @query

@@ -32,8 +32,21 @@ def hourly_timeline(
     )
 
 
-def first_per_reading(readings: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Replays of a ``reading_id`` within the lateness bound are dropped; state stays bounded."""
-    return readings.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(
-        ["reading_id"]
+def first_per_reading(readings: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Of each ``reading_id`` the earliest row, ties settled by the other columns, null times last.
+
+    Without ``lateness`` no row is ever too late, and the result depends on neither files nor
+    batches: over a table a keyed aggregate, over a stream a state of one row per reading. With it,
+    replays within that bound of a stream are dropped from bounded state, and rows older than the
+    watermark are left out.
+    """
+    if lateness:
+        return readings.withWatermark("timestamp", lateness).dropDuplicatesWithinWatermark(
+            ["reading_id"]
+        )
+    others = [c for c in readings.columns if c not in ("reading_id", "timestamp")]
+    first = F.min(F.struct(F.col("timestamp").isNull().alias("no_time"), "timestamp", *others))
+    return (
+        readings.groupBy("reading_id").agg(first.alias("row"))
+        .select(*(c if c == "reading_id" else F.col("row")[c].alias(c) for c in readings.columns))
     )
