@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from airsense.functions.domain import aqi_from_pm25, calendar, season_of_month
 from airsense.functions.numeric import rnd
 from airsense.operators import clean, eda, evaluation, features, live, monitoring, quality, scoring
-from airsense.operators.training import SMALL_SETTINGS, encode, fit_encoder
+from airsense.operators.training import encode, fit_encoder
 from airsense.plans.pipeline import score_readings, train
 from airsense.schema import (
     ALERTS, CIRCULAR_FEATURES, COMPOSITE_FEATURES, IMPUTED_COLUMNS, LABELS, LIVE_BASE_COLUMNS,
@@ -626,9 +626,9 @@ def encoded_vectors(spark, sf_dir):
 
 @query
 def train_and_score(spark, sf_dir):
-    """Small candidates trained on the whole table, the best one scoring it."""
+    """Full-size candidates trained on the whole table, the best one scoring it."""
     rows = readings(spark, sf_dir)
-    model = train(rows, SMALL_SETTINGS)
+    model = train(rows)
     return score_readings(rows, model, scored_at=now()).select(
         "reading_id", "station_id", *PROBS, *ALERTS, "total_alerts", "max_risk_prob",
         "dominant_risk", "alert_signature", "scored_at", "model_version",
