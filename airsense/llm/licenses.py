@@ -1,10 +1,12 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. It holds a template if the template's distinct words are in it to at least
-``CONTAINMENT``. Template words are ordered by their frequency in all documents, rare first. With m
-words and o = ceil(CONTAINMENT m) needed, one of the first m - o + 1 must be in the block (prefix
-filter); the block must have o words (length filter); and the rank of the first shared word leaves
-m less that rank to share (positional filter). What passes is counted exactly.
+A block is a run of consecutive words of a document, across line ends, as long as the template with
+a tenth of other words between. It holds a template if the template's distinct words are in it to at
+least ``CONTAINMENT``. Template words are ordered by their frequency in all documents, rare first.
+With m words and o = ceil(CONTAINMENT m) needed, one of the first m - o + 1 must be in the block
+(prefix filter); the document must have o words (length filter); and so many places of template
+words must lie within a block's length of that one (positional filter). What passes is counted
+exactly, for all blocks.
 
 Besides, base labels come from places where a license's name stands as consecutive words.
 """
@@ -103,21 +105,36 @@ def phrase_places(known: np.ndarray, bounds: np.ndarray, numbers: dict[str, int]
     return out
 
 
-def blocks_of(data: np.ndarray, starts: np.ndarray, bounds: np.ndarray, rare: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, known words) of each line that holds a word of some template's prefix."""
-    hit = np.flatnonzero(rare[known])
-    if not len(hit):
-        return
-    line = np.cumsum(data == 10)[starts]  # a word starts after its line's break
-    row = np.searchsorted(bounds, np.arange(len(starts)), "right") - 1
-    new = np.ones(len(starts), bool)
-    new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-    block = np.cumsum(new) - 1
-    first = np.append(np.flatnonzero(new), len(starts))
-    for b in np.unique(block[hit]):
-        a, z = first[b], first[b + 1]
-        inside = known[a:z]
-        yield int(row[a]), inside[inside >= 0]
+def best_shares(known: np.ndarray, bounds: np.ndarray, number: np.ndarray, need: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, most distinct template words in a block of it) of rows where a block has ``need``.
+
+    ``number`` gives each vocabulary word its place in the template, rare first, or -1."""
+    own = number[known]
+    m = int(number.max()) + 1
+    at = np.flatnonzero(own >= 0)
+    row = np.searchsorted(bounds, at, "right") - 1
+    start, end = bounds[row], bounds[row + 1]
+    hit = (own[at] <= m - need) & (end - start >= need)
+    low = np.searchsorted(at, np.maximum(at[hit] - width + 1, start[hit]))
+    high = np.searchsorted(at, np.minimum(at[hit] + width, end[hit]))
+    enough = high - low >= need
+    cover = np.zeros(len(at) + 1, np.int64)
+    np.add.at(cover, low[enough], 1)
+    np.add.at(cover, high[enough], -1)
+    near = np.cumsum(cover[:-1]) > 0
+    at, row, start = at[near], row[near], start[near]
+    if not len(at):
+        return row, row
+    # the best block ends at a template word; it has each word whose last place lies in it
+    first = np.maximum(at - width + 1, start)
+    shared = np.zeros(len(at), np.int64)
+    for k in range(m):
+        shared += np.maximum.accumulate(np.where(own[at] == k, at, -1)) >= first
+    held = shared >= need
+    rows, place = np.unique(row[held], return_inverse=True)
+    best = np.zeros(len(rows), np.int64)
+    np.maximum.at(best, place, shared[held])
+    return rows, best
 
 
 def scan(rank: list[int]):
@@ -127,32 +144,22 @@ def scan(rank: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, names = reader()
         numbers = {w: k for k, w in enumerate(names)}
-        place = np.array(rank)
         templates = []
-        rare = np.zeros(len(names) + 1, bool)  # the last is for unknown words, number -1
         for label, text in TEMPLATES:
-            own = np.array(sorted({numbers[w] for w in text.split()}, key=lambda w: rank[w]))
-            need = ceil(CONTAINMENT * len(own) - 1e-9)
-            templates.append((label, own, need, set(own[: len(own) - need + 1].tolist()), {int(w): k for k, w in enumerate(own)}))
-            rare[own[: len(own) - need + 1]] = True
+            own = sorted({numbers[w] for w in text.split()}, key=lambda w: rank[w])
+            number = np.full(len(names) + 1, -1)  # the last is for unknown words, number -1
+            number[own] = np.arange(len(own))
+            width = ceil(len(text.split()) / CONTAINMENT - 1e-9)
+            templates.append((label, number, len(own), ceil(CONTAINMENT * len(own) - 1e-9), width))
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out = []
-            for i, j, data, starts, known, bounds in words.read(batch.column("text")):
+            for i, j, _, _, known, bounds in words.read(batch.column("text")):
                 found: dict[int, dict[str, float]] = {}
-                for row, held in blocks_of(data, starts, bounds, rare, known):
-                    distinct = set(held.tolist())
-                    ordered = sorted(distinct, key=lambda w: place[w])
-                    for label, own, need, prefix, at in templates:
-                        if len(distinct) < need or not (distinct & prefix):
-                            continue
-                        first = next(at[w] for w in ordered if w in at)
-                        if len(own) - first < need:
-                            continue
-                        shared = sum(w in at for w in ordered)
-                        if shared >= need:
-                            best = found.setdefault(row, {})
-                            best[label] = max(best.get(label, 0.0), shared / len(own))
+                for label, number, size, need, width in templates:
+                    for row, shared in zip(*best_shares(known, bounds, number, need, width), strict=True):
+                        best = found.setdefault(int(row), {})
+                        best[label] = max(best.get(label, 0.0), float(shared) / size)
                 base = phrase_places(known, bounds, numbers)
                 every = np.sort(np.concatenate(list(base.values())))
                 cuts = np.searchsorted(every, bounds)
