@@ -39,14 +39,3 @@ def raw(spark, sf_dir):
     from airsense.sources.stored import store
 
     return store(readings(spark, sf_dir), "raw")
-
-
-def plan_of(df) -> str:
-    """The text ``explain`` prints, before the query has run."""
-    import contextlib
-    import io
-
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()

@@ -9,7 +9,7 @@ import __spark_entry__ as driver
 from airsense.operators import clean, features, monitoring
 from airsense.sources.driver_tables import add_fixture_scores
 from airsense.sources.stored import Lookup, as_lookup, store
-from conftest import plan_of
+from plan_text import plan_of
 
 
 

@@ -12,7 +12,7 @@ from airsense.sources import stored
 from airsense.sources.driver_tables import add_fixture_scores
 from airsense.sources.history import last_write_wins
 from airsense.sources.stored import store
-from conftest import plan_of
+from plan_text import plan_of
 
 
 @pytest.fixture(scope="module")
