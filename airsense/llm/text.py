@@ -148,3 +148,19 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + k, sequence_hashes(words[a:b], b - a)
             else:
                 yield i + k, np.zeros(0, np.uint64)
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets of the rows in them) in parts of about ``limit`` bytes. A longer
+    row comes in several parts, cut where a word of ``kind`` ends, so that no word is cut."""
+    for i, j in pieces(offsets, limit):
+        low, high = int(offsets[i]), int(offsets[j])
+        while high - low > limit:
+            cut, step = low + limit, limit
+            while cut < high and kind[data[cut : cut + step]].all():
+                cut += step
+            cut = min(high, cut + int(np.argmin(kind[data[cut : cut + step]]))) if cut < high else high
+            yield i, data[low:cut], np.array([0, cut - low])
+            low = cut
+        if high > low or j - i > 1:
+            yield i, data[low:high], np.maximum(offsets[i : j + 1] - low, 0)
