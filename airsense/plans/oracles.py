@@ -2,6 +2,8 @@
 
 from airsense.functions.domain import AQI_SEGMENTS, WHO_LIMITS
 from airsense.operators.eda import POLLUTANTS
+from airsense.operators.model_sql import probability_sql
+from airsense.plans.stored_models import STORED_MODELS
 from airsense.schema import (
     ALERTS, BASELINE_COOCCURRENCE, BASELINE_MODEL, BASELINE_RATES, CIRCULAR_FEATURES,
     COMPOSITE_FEATURES, ENCODED_THEN_DROPPED, IMPUTED_COLUMNS, LABEL_TITLES, LABELS,
@@ -893,3 +895,21 @@ ORACLES["stream_first_per_reading"] = over(
     READINGS,
     f"""SELECT DISTINCT cast({_n} as varchar) AS reading_id, "timestamp", station_id FROM readings""",
 )
+
+
+def model_scores(name: str) -> str:
+    probs = cols(f"{r(p, 6)} AS {p}" for p in PROBS)
+    limits = ("0.5", "0.5", "0.5", "0.5", "0.3")
+    alerts = [f"{flag(f'{p} >= {limit}')}" for p, limit in zip(PROBS, limits)]
+    dominant = " ".join(f"when {p} = greatest({cols(PROBS)}) then '{p.removeprefix('prob_label_')}'" for p in PROBS)
+    return f"""WITH {READINGS},
+model AS ({probability_sql(STORED_MODELS[name], "readings")})
+SELECT reading_id, {probs}, {cols(f"{a} AS {p.replace('prob_label_', 'alert_')}" for a, p in zip(alerts, PROBS))},
+ {" + ".join(alerts)} AS total_alerts, case {dominant} end AS dominant_risk,
+ {" || ".join(f"cast({a} as varchar)" for a in alerts)} AS alert_signature, '{name}' AS model_version
+FROM model"""
+
+
+ORACLES["chain_scores"] = model_scores("classifier_chain_lr")
+ORACLES["forest_scores"] = model_scores("random_forest")
+ORACLES["extra_trees_scores"] = model_scores("extra_trees")

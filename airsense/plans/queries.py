@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from airsense.functions.domain import aqi_from_pm25, calendar, season_of_month
 from airsense.functions.numeric import rnd
 from airsense.operators import clean, eda, evaluation, features, live, monitoring, quality, scoring
+from airsense.operators.model_sql import add_document_probabilities
 from airsense.operators.training import encode, fit_encoder
 from airsense.plans.pipeline import score_readings, train
+from airsense.plans.stored_models import STORED_MODELS
 from airsense.schema import (
     ALERTS, CIRCULAR_FEATURES, COMPOSITE_FEATURES, IMPUTED_COLUMNS, LABELS, LIVE_BASE_COLUMNS,
     LOGGED_COLUMNS, MISSING_FLAGS, PROBS, RISK_FEATURES, ROLLING_FEATURES,
@@ -624,6 +626,31 @@ def encoded_vectors(spark, sf_dir):
     return rounded(encoded.select("reading_id", entries), ("value",))
 
 
+def model_scores(spark, sf_dir, name: str) -> DataFrame:
+    """Probabilities, alerts and summary of a stored model, fitted earlier."""
+    with_probabilities = add_document_probabilities(readings(spark, sf_dir), STORED_MODELS[name])
+    summed = scoring.add_score_summary(scoring.add_alerts(with_probabilities, THRESHOLDS), now(), name)
+    return rounded(summed, PROBS).select(
+        "reading_id", *PROBS, *ALERTS, "total_alerts", "dominant_risk", "alert_signature", "model_version"
+    )
+
+
+@query
+def chain_scores(spark, sf_dir):
+    """A classifier chain: each regression sees what the ones before it decided."""
+    return model_scores(spark, sf_dir, "classifier_chain_lr")
+
+
+@query
+def forest_scores(spark, sf_dir):
+    return model_scores(spark, sf_dir, "random_forest")
+
+
+@query
+def extra_trees_scores(spark, sf_dir):
+    return model_scores(spark, sf_dir, "extra_trees")
+
+
 @query
 def train_and_score(spark, sf_dir):
     """Full-size candidates trained on the whole table, the best one scoring it."""

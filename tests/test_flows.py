@@ -175,7 +175,7 @@ def test_history_keeps_signatures_as_text(spark, tmp_path):
 
 
 def test_train_save_load_score(spark, tmp_path, raw):
-    model = train(raw, SMALL_SETTINGS, {k: CANDIDATES[k] for k in ("random_forest", "classifier_chain_lr")})
+    model = train(raw, SMALL_SETTINGS, {k: CANDIDATES[k] for k in CANDIDATES})
     assert model.name in CANDIDATES
     assert model.summary["feature_count"] == 75
     assert model.summary["split_rows"] == {"train": 675, "validation": 125, "test": 200}
