@@ -15,11 +15,13 @@ shared by chance, and words made by a frequent shingle alone last. Any order giv
 frequent shingles are counted over all documents.
 
 Candidates are star-shaped (each document with the first document of its key), filtered by a
-second, fixed-size parity sketch of one bit per shingle (its Hamming distance bounds the symmetric
-difference from below) and verified on the exact sets. Keys whose documents are in one component then need nothing more. The
-rest is compared in blocks of ``BLOCK`` members, so that a key of any size is split over tasks: first
-for a forest of near pairs, which joins what belongs together, then for every close pair that still
-lies between two components.
+second parity sketch of one bit per shingle (its Hamming distance bounds the symmetric difference
+from below; it has as many bits as the set has shingles, rounded up to a power of two, and folds to
+half of them by XOR) and verified on the exact sets. Keys whose documents are in one component then need nothing more. The
+rest is compared in blocks of ``BLOCK`` members, so that a key of any size is split over tasks: only
+the strays, members outside the component that most of a key's documents are in, meet all others,
+first for a forest of near pairs, which joins what belongs together, then for every close pair that
+still lies between two components.
 """
 
 from __future__ import annotations
@@ -38,15 +40,18 @@ from airsense.sources.stored import store
 
 #: Jaccard threshold as a fraction, in integers.
 NUMERATOR, DENOMINATOR = 3, 4
-#: 64-bit words of the fixed-size sketch used to drop candidates.
+#: 64-bit words that the sketch used to drop candidates has at least.
 FILTER_WORDS = 16
 #: Elements that a task gathers before it emits them by bucket.
 FLUSH = 4_000_000
 #: Rows (of 32 bytes) up to which the sets' components are broadcast to label the groups.
 LABELS_BROADCAST = 400_000
-#: Shingles found this often in a piece of a task and in all are ordered last; any values give the same links.
-HOT_LOCAL, HOT_TOTAL, HOT_MOST = 4, 64, 100_000
+#: Shingles in so many different sets of a piece of a task, and in all such pieces, are ordered last,
+#: the most frequent ones if there are more than HOT_MOST; any values give the same links.
+HOT_LOCAL, HOT_TOTAL, HOT_MOST = 2, 16, 200_000
 BLOCK = 1024
+#: Pairs of a block that are compared at a time, about.
+PAIRS_AT_ONCE = 1 << 20
 #: A key that more sets than this of one gathering have goes to its bucket as one entry.
 RUN_MOST = 64
 _ONE, _C1, _C2 = np.uint64(1), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -54,8 +59,9 @@ _ONE, _C1, _C2 = np.uint64(1), np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE
 SUMMARY = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("set1", T.LongType()), T.StructField("set2", T.LongType()),
-    T.StructField("sketch", T.BinaryType()), T.StructField("hot", T.LongType()), T.StructField("times", T.LongType()),
+    T.StructField("sketch", T.BinaryType()), T.StructField("bucket", T.IntegerType()), T.StructField("hot", T.BinaryType()), T.StructField("times", T.BinaryType()),
 ])
+HOT = T.StructType([T.StructField("hot", T.LongType()), T.StructField("times", T.LongType())])
 BUCKETS = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()),
     T.StructField("keys", T.BinaryType()), T.StructField("sids", T.BinaryType()), T.StructField("counts", T.BinaryType()),
@@ -85,10 +91,41 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
+def filter_words(n: int) -> int:
+    """64-bit words of the filter sketch of ``n`` shingles: a power of two, a bit a shingle at least."""
+    return max(FILTER_WORDS, 1 << (-(-n // 64) - 1).bit_length())
+
+
 def filter_sketch(shingles: np.ndarray) -> np.ndarray:
     h = mix(shingles ^ _C2)
-    out = np.zeros(FILTER_WORDS, np.uint64)
-    np.bitwise_xor.at(out, (h >> np.uint64(32)) % np.uint64(FILTER_WORDS), _ONE << (h & np.uint64(63)))
+    words = filter_words(len(shingles))
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (h >> np.uint64(6)) & np.uint64(words - 1), _ONE << (h & np.uint64(63)))
+    return out
+
+
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of ``words`` words and more, folded to that many: the sketches of the same sets."""
+    out = np.empty((len(sketches), words), np.uint64)
+    for size in {len(s) for s in sketches}:
+        at = [i for i, s in enumerate(sketches) if len(s) == size]
+        rows = np.frombuffer(b"".join(sketches[i] for i in at), np.uint64).reshape(len(at), -1, words)
+        out[at] = np.bitwise_xor.reduce(rows, axis=1)
+    return out
+
+
+def distances(sketches: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming distances of the sketches of pairs of places, in the bits of the smaller one."""
+    words = np.array([len(s) // 8 for s in sketches])
+    least = np.minimum(words[i], words[j])
+    out = np.empty(len(i), np.int64)
+    for w in np.unique(least).tolist():
+        pairs = np.flatnonzero(least == w)
+        used, place = np.unique(np.concatenate((i[pairs], j[pairs])), return_inverse=True)
+        rows = folded([sketches[k] for k in used], w)
+        for a in range(0, len(pairs), 1 + (1 << 20) // w):
+            b = min(len(pairs), a + 1 + (1 << 20) // w)
+            out[pairs[a:b]] = np.bitwise_count(rows[place[a:b]] ^ rows[place[len(pairs) + a : len(pairs) + b]]).sum(1, dtype=np.int64)
     return out
 
 
@@ -115,7 +152,18 @@ def single_word_keys(shingles: np.ndarray, band: int) -> np.ndarray:
     return mix((at * _C1) ^ (mix(shingles) + np.uint64(band)))
 
 
-def keys_of(shingles: np.ndarray, hot: dict[int, np.ndarray]) -> Iterator[np.ndarray]:
+class HotKeys(dict):
+    """The sorted keys of frequent shingles by band, made when a band is first asked for."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot = hot
+
+    def __missing__(self, band: int) -> np.ndarray:
+        self[band] = np.sort(single_word_keys(self.hot, band)) if len(self.hot) else self.hot
+        return self[band]
+
+
+def keys_of(shingles: np.ndarray, hot: HotKeys) -> Iterator[np.ndarray]:
     """The join keys of one set: d + 1 words for its own band, and for the next one if a linked
     set may lie there."""
     n = len(shingles)
@@ -129,40 +177,67 @@ def keys_of(shingles: np.ndarray, hot: dict[int, np.ndarray]) -> Iterator[np.nda
             keys = np.sort(keys)
         elif len(keys) > need:
             rare = np.minimum(count, 7).astype(np.uint64)
-            if band in hot:
+            if len(hot[band]):
                 place = np.minimum(np.searchsorted(hot[band], keys), len(hot[band]) - 1)
                 rare[hot[band][place] == keys] = 0
             keys = keys[np.argpartition(((np.uint64(7) - rare) << np.uint64(60)) | (keys >> np.uint64(4)), need - 1)[:need]]
         yield keys
 
 
-def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and rows of shingles that are frequent within a piece."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sketch", pa.binary()), ("hot", pa.int64()), ("times", pa.int64())])
-    held: list[np.ndarray] = []
-    size = 0
+def summariser(buckets: int):
+    """A row per document; by bucket, the shingles that several different sets of a piece have."""
 
-    def frequent() -> pa.RecordBatch:
-        values, times = np.unique(np.concatenate(held), return_counts=True)
-        keep = times >= HOT_LOCAL
-        none = pa.nulls(int(keep.sum()))
-        return pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 4 + [none.cast(pa.binary()), pa.array(signed(values[keep])), pa.array(times[keep])], schema=schema)
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("hot", pa.binary()), ("times", pa.binary())])
+        held: list[np.ndarray] = []
+        seen: set = set()
+        size = 0
 
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        rows: list[tuple] = []
-        for k, s in shingle_sets(batch.column("text")):
-            one, two = set_id(s) if len(s) else (np.uint64(0), np.uint64(0))
-            rows.append((int(ids[k]), len(s), int(one.view(np.int64)), int(two.view(np.int64)), filter_sketch(s).tobytes() if len(s) else b"", None, None))
-            held.append(s)
-            size += len(s)
-            if size >= FLUSH:
-                yield frequent()
-                held, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-    if held:
-        yield frequent()
+        def frequent() -> Iterator[pa.RecordBatch]:
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            values, times = values[times >= HOT_LOCAL], times[times >= HOT_LOCAL]
+            bucket = (values % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            values, times, bucket = values[order], times[order], bucket[order]
+            if not len(values):
+                return
+            first, count = runs(bucket)
+            none = pa.nulls(len(first))
+            cells = [(int(bucket[a]), values[a : a + n].tobytes(), times[a : a + n].astype(np.int64).tobytes()) for a, n in zip(first, count, strict=True)]
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64())] * 4 + [none.cast(pa.binary())] + [pa.array(c, f.type) for c, f in zip(zip(*cells, strict=True), list(schema)[5:], strict=True)], schema=schema)
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            rows: list[tuple] = []
+            for k, s in shingle_sets(batch.column("text")):
+                one, two = set_id(s) if len(s) else (np.uint64(0), np.uint64(0))
+                rows.append((int(ids[k]), len(s), int(one.view(np.int64)), int(two.view(np.int64)), filter_sketch(s).tobytes() if len(s) else b"", None, None, None))
+                if (one, two) in seen:
+                    continue
+                seen.add((one, two))
+                held.append(s)
+                size += len(s)
+                if size >= FLUSH:
+                    yield from frequent()
+                    held, seen, size = [], set(), 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if held:
+            yield from frequent()
+
+    return summarise
+
+
+def add_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frequent shingles of the task's buckets."""
+    cells = [(np.frombuffer(h, np.uint64), np.frombuffer(t, np.int64)) for batch in batches for h, t in zip(batch.column("hot").to_pylist(), batch.column("times").to_pylist(), strict=True)]
+    if not cells:
+        return
+    values, back = np.unique(np.concatenate([c[0] for c in cells]), return_inverse=True)
+    times = np.bincount(back, np.concatenate([c[1] for c in cells])).astype(np.int64)
+    keep = np.flatnonzero(times >= HOT_TOTAL)
+    for i in range(0, len(keep), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(signed(values[keep[i : i + 100_000]])), pa.array(times[keep[i : i + 100_000]])], names=["hot", "times"])
 
 
 def group_ids(members: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -184,7 +259,7 @@ def emitter(buckets: int, hot: np.ndarray):
     share a key, the bucket gets one entry for them, and kind 1 has the group that it stands for."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_band = {b: np.sort(single_word_keys(hot, b)) for b in range(40)} if len(hot) else {}
+        by_band = HotKeys(hot)
         schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("sids", pa.binary()), ("counts", pa.binary())])
         keys: list[np.ndarray] = []
         sids: list[np.uint64] = []
@@ -290,29 +365,31 @@ def gatherer(buckets: int):
     return gather
 
 
-def close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """False where sizes or sketches rule a link out; rows of ``a`` and ``b`` are sketches."""
-    different = np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+def close(different: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """False where sizes or the sketches' distances rule a link out."""
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     return (DENOMINATOR * small >= NUMERATOR * large) & (different * (DENOMINATOR + NUMERATOR) <= (DENOMINATOR - NUMERATOR) * (n_a + n_b))
 
 
 def keep_close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, FILTER_WORDS) for c in ("sketch_a", "sketch_b"))
-        keep = close(a, b, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        sketches = [*batch.column("sketch_a").to_pylist(), *batch.column("sketch_b").to_pylist()]
+        n, at = batch.num_rows, np.arange(batch.num_rows)
+        keep = close(distances(sketches, at, at + n), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
 def block_comparer(forest: bool):
-    """Close pairs of different components in each block (``side`` 2: with itself; else side 0
-    with side 1). With ``forest``, of those only as many as may join the components of the task's
-    rows, nearest first. Rows come sorted by block; a block has about twice ``BLOCK`` rows."""
+    """Close pairs of different components in each block: its strays (members outside the group's
+    main component) with the members that are at home in it. With ``forest``, of those only as many
+    as may join the components of the task's rows, nearest first. Rows come sorted by block; a block
+    has about ``BLOCK`` rows besides the strays."""
 
     def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[pa.RecordBatch] = []
         above: dict[int, int] = {}
+        given: set[tuple[int, int]] = set()
 
         def top(x: int) -> int:
             while above.get(x, x) != x:
@@ -320,38 +397,49 @@ def block_comparer(forest: bool):
             return x
 
         def compare(table: pa.Table) -> pa.RecordBatch:
-            group, low, high, doc, n, comp, side = (table.column(c).to_numpy() for c in ("grp", "low", "high", "doc_id", "n_shingles", "component", "side"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, FILTER_WORDS)
-            cuts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+            group, low, doc, n, comp, home, stray = (table.column(c).to_numpy() for c in ("grp", "low", "doc_id", "n_shingles", "component", "home", "stray"))
+            sketches = table.column("sketch").to_pylist()
+            cuts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (low[1:] != low[:-1]), [True])))
             found = []
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                right = x + np.flatnonzero(side[x:y] != 0)
-                for i in x + np.flatnonzero(side[x:y] != 1):
-                    other = right[(comp[right] != comp[i]) & ((doc[right] > doc[i]) | (side[i] != 2))]
-                    if forest and len(other):
-                        mine = top(int(comp[i]))
-                        other = other[[top(int(c)) != mine for c in comp[other]]]
-                    if not len(other):
+                strays = x + np.flatnonzero(stray[x:y])
+                homes = x + np.flatnonzero(home[x:y])
+                homes = homes[np.argsort(n[homes], kind="stable")]
+                # partners by size
+                since = np.searchsorted(DENOMINATOR * n[homes], NUMERATOR * n[strays])
+                until = np.searchsorted(NUMERATOR * n[homes], DENOMINATOR * n[strays], "right")
+                step = max(1, PAIRS_AT_ONCE // max(1, len(homes)))
+                for a in range(0, len(strays), step):
+                    count = np.maximum(until - since, 0)[a : a + step]
+                    i = np.repeat(strays[a : a + step], count)
+                    j = homes[np.repeat(since[a : a + step] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+                    # two strays meet twice, in the home of either
+                    apart = (comp[i] != comp[j]) & (~stray[j] | (doc[i] < doc[j]))
+                    i, j = i[apart], j[apart]
+                    if not len(i):
                         continue
-                    far = np.bitwise_count(sketch[i] ^ sketch[other]).sum(-1)
-                    keep = close(sketch[i], sketch[other], n[i], n[other])
-                    other, far = other[keep], far[keep]
-                    for k in other[np.argsort(far, kind="stable")]:
+                    far = distances(sketches, i, j)
+                    keep = np.flatnonzero(close(far, n[i], n[j]))
+                    for k in keep[np.argsort(far[keep], kind="stable")]:
                         if forest:
-                            one, two = top(int(comp[i])), top(int(comp[k]))
+                            one, two = top(int(comp[i[k]])), top(int(comp[j[k]]))
                             if one == two:
                                 continue
                             above[max(one, two)] = min(one, two)
-                        found.append((min(doc[i], doc[k]), max(doc[i], doc[k])))
-            pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+                        pair = int(min(doc[i[k]], doc[j[k]])), int(max(doc[i[k]], doc[j[k]]))
+                        # a task gives out a pair once, however many groups it has it from
+                        if pair not in given:
+                            given.add(pair)
+                            found.append(pair)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([*held, batch])
-            group, low, high = (table.column(c).to_numpy() for c in ("grp", "low", "high"))
-            last = int(np.argmax((group == group[-1]) & (low == low[-1]) & (high == high[-1])))
+            group, low = (table.column(c).to_numpy() for c in ("grp", "low"))
+            last = int(np.argmax((group == group[-1]) & (low == low[-1])))
             if last:
                 yield compare(table.slice(0, last))
             held = table.slice(last).to_batches()
@@ -422,25 +510,27 @@ def rest_pairs(members: DataFrame, made: DataFrame, reps: DataFrame, labels: Dat
         inner.select("grp", F.coalesce("sid", "member").alias("sid")).union(made.select(F.col("made").alias("grp"), "sid"))
         .join(small_side(known, LABELS_BROADCAST), "sid")
     )
+    # groups of several components, with the component that most of their members are in
+    sizes = labelled.groupBy("grp", "component").agg(F.count("*").alias("size"))
     several = store(
-        labelled.groupBy("grp").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high").select("grp", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
+        sizes.groupBy("grp").agg(F.sum("size").alias("size"), F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1").select("grp", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")),
         "jaccard-several",
     )
     rows = (
         labelled.join(small_side(several), "grp").distinct()
         .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+        .withColumn("stray", F.col("component") != F.col("main"))
         .join(reps.select("doc_id", "sketch"), "doc_id")
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = rows.select("*", other).select(
-        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        "doc_id", "n_shingles", "component", "sketch",
-    )
+    # members of the main component stay at home; strays visit every block
+    seen_in = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = rows.withColumn("low", F.explode(seen_in)).select(
+        "grp", "low", (F.col("low") == F.col("block")).alias("home"), "stray", "doc_id", "n_shingles", "component", "sketch"
+    )
     n = partitions(members.sparkSession)
     return (
-        dealt.repartition(n, "grp", "low", "high").sortWithinPartitions("grp", "low", "high")
+        dealt.repartition(n, "grp", "low").sortWithinPartitions("grp", "low")
         .mapInArrow(block_comparer(forest), PAIRS).distinct()
     )
 
@@ -456,18 +546,18 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    found = store(docs.mapInArrow(summarise, SUMMARY), "jaccard-summary")
-    summary = found.where("hot is null").drop("hot", "times")
+    buckets = 2 * partitions(spark)
+    found = store(docs.mapInArrow(summariser(buckets), SUMMARY), "jaccard-summary")
+    summary = found.where("bucket is null").drop("bucket", "hot", "times")
     hot = [
-        r.hot for r in found.where("hot is not null").groupBy("hot").agg(F.sum("times").alias("times"))
-        .where(F.col("times") >= HOT_TOTAL).orderBy(F.desc("times"), "hot").limit(HOT_MOST).select("hot").collect()
+        r.hot for r in found.where("bucket is not null").select("bucket", "hot", "times").repartition(buckets, "bucket").mapInArrow(add_frequencies, HOT)
+        .orderBy(F.desc("times"), "hot").limit(HOT_MOST).select("hot").collect()
     ]
     classes = store(
         summary.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r"))
         .select(F.col("set1").alias("sid"), F.col("set2").alias("set2"), "r.*"),
         "jaccard-classes",
     )
-    buckets = 2 * partitions(spark)
     members = store(
         docs.mapInArrow(emitter(buckets, np.array(hot, np.int64).view(np.uint64)), BUCKETS)
         .repartition(buckets, "bucket").mapInArrow(gatherer(buckets), MEMBERS),

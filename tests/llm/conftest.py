@@ -1,15 +1,5 @@
 import pytest
-
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def prose(seed: int, n: int) -> str:
-    out, x = [], seed * 7919 + 13
-    for _ in range(n):
-        x = (x * 1103515245 + 12345) % (1 << 31)
-        out.append(WORDS[(x >> 8) % len(WORDS)] + str((x >> 16) % 50))
-    return " ".join(out)
-
+from made_texts import prose
 
 @pytest.fixture(scope="session")
 def texts():
