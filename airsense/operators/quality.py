@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from airsense.functions.domain import SEASONS, aqi_from_pm25
 from airsense.functions.numeric import flag, rnd
 from airsense.operators.quantiles import exact_quantiles
+from airsense.sources import stored
 
 # ---- fixed values ----
 EXTREME_GAS = 200
@@ -153,15 +154,43 @@ def problem_rows(df: DataFrame) -> DataFrame:
     return df.where(broken).select(*PROBLEM_COLUMNS)
 
 
+#: Bits of one bitmap, and bitmaps of the filter at most (4 kB each, 32 MB in all).
+BITMAP_BITS, MOST_BITMAPS = 32768, 8192
+#: Bits of the filter per digest that it holds.
+BITS_PER_DIGEST = 16
+
+
+def maybe_in(df: DataFrame, digests: DataFrame, count: int) -> DataFrame:
+    """The rows of ``df`` whose ``digest`` may be one of ``digests``; all that are, few others.
+
+    A hash of a digest is a bit of a broadcast bitmap, which is bounded in size whatever ``count``
+    is: beyond that more rows pass, never fewer."""
+    bitmaps = min(MOST_BITMAPS, -(-count * BITS_PER_DIGEST // BITMAP_BITS)) or 1
+    place = F.pmod(F.xxhash64("digest"), F.lit(bitmaps * BITMAP_BITS)) + 1
+    seen = digests.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bitmap_no")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(digest_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = df.withColumns({"bitmap_no": F.bitmap_bucket_number(place), "digest_bit": at}).join(F.broadcast(seen), "bitmap_no")
+    return marked.where(F.bit_get(byte, (F.col("digest_bit") % 8).cast("int")) == 1).drop("bitmap_no", "digest_bit", "bits")
+
+
 def duplicate_groups(df: DataFrame) -> DataFrame:
     """Every member of each group equal on all but the id, with the size of its group.
 
-    Sizes are counted per digest and joined back: one shuffle of the rows at most, in which a skew
-    join can split a group that holds a large share of them, since it meets one row on the other side.
+    Digests are counted first. If few of them occur again, they are broadcast with their counts and
+    no row is shuffled. Else a bitmap of them lets the rows of single digests go before the join, in
+    which a skew join can split a group that holds a large share of the rest, since it meets one
+    row on the other side.
     """
     hashed = df.withColumn("digest", content_digest(df))
     sizes = hashed.groupBy("digest").agg(F.count("*").alias("group_size")).where("group_size > 1")
-    return hashed.join(sizes, "digest").select(*df.columns, "group_size")
+    again = stored.store(sizes, "duplicate-sizes")
+    groups = again.count()
+    if groups <= stored.SMALL_TABLE_ROWS:
+        return hashed.join(F.broadcast(again), "digest").select(*df.columns, "group_size")
+    return maybe_in(hashed, again, groups).join(again, "digest").select(*df.columns, "group_size")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -105,4 +105,29 @@ def test_duplicates_move_wide_rows_once_at_most(raw):
     from airsense.operators import quality
 
     assert wide_exchanges(quality.duplicate_counts(raw)) == 0
-    assert wide_exchanges(quality.duplicate_groups(raw)) <= 1
+    assert "SortMergeJoin" not in plan_of(quality.duplicate_groups(raw))
+
+
+def test_rows_of_single_digests_are_never_shuffled(spark, raw, monkeypatch):
+    """Few groups: no shuffle of rows. Many: only rows that a bitmap lets pass."""
+    from airsense.operators import quality
+    from airsense.sources import stored
+
+    few = quality.duplicate_groups(raw)
+    assert not re.findall(r"\(\d+\) Exchange", plan_of(few))
+    monkeypatch.setattr(stored, "SMALL_TABLE_ROWS", 1)
+    many = quality.duplicate_groups(raw)
+    assert wide_exchanges(many) <= 1 and "bitmap_construct_agg" in plan_of(many)
+    assert few.exceptAll(many).isEmpty() and many.exceptAll(few).isEmpty() and not few.isEmpty()
+
+
+@pytest.mark.parametrize("bits", [16, 1])
+def test_bitmap_keeps_every_wanted_row(spark, monkeypatch, bits):
+    from airsense.operators import quality
+
+    monkeypatch.setattr(quality, "BITS_PER_DIGEST", bits)
+    rows = spark.range(40_000).select("id", F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    wanted = rows.where("id % 9 = 0").select("digest")
+    passed = quality.maybe_in(rows, wanted, 4445)
+    assert passed.columns == rows.columns and passed.where("id % 9 = 0").count() == 4445
+    assert passed.count() < (4445 + 35_555 / 8 if bits == 16 else 40_000)
