@@ -7,6 +7,7 @@ number of bytes, so that the temporary arrays do not grow with the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import SparkSession
 
 PIECE = 1 << 20
 SHINGLE = 5
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -33,9 +35,19 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, since one row may be a very long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    if int(spark.conf.get(BATCH_ROWS)) > rows or int(spark.conf.get(BATCH_ROWS)) <= 0:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for what is run inside; the setting is put back after."""
+    before = spark.conf.get(BATCH_ROWS)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

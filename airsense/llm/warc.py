@@ -4,10 +4,15 @@ Archives are gzip members, one per record, in files of bounded size. A task writ
 name of its own and returns their names; only those are read, so that a repeated task leaves no
 second copy in the result.
 
-The reader checks each member (gzip, version line, Content-Length, payload digest). Where a check
+The reader checks each member (gzip, version line, Content-Length, digests). Where a check
 fails it searches the next gzip magic number or version line that starts a valid record, goes on
-there, and reports the bytes between as a quarantined gap. A revisit has no payload of its own; its
-digest and length stand in its header.
+there, and reports the bytes between as a quarantined gap. A member is inflated in slices and never
+beyond the length that its own header declares, so that a pass over an archive is linear in its bytes.
+
+WARC-Block-Digest is taken over the block, WARC-Payload-Digest over the payload: for HTTP messages
+the body behind their head. A digest by an unknown algorithm, of one segment among several, or of a
+chunked body is not checked. A revisit has no payload of its own; its digest and length stand in its
+header.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -25,12 +31,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsense.llm.tables import read
-from airsense.llm.text import small_batches
+from airsense.llm.text import batches_of
 from airsense.sources.stored import new_path, store
 
 #: Bytes after which a task begins the next archive.
 ARCHIVE = 16 << 20
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1."
+START = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
+#: Bytes that a member is inflated by, and the longest header of a record.
+SLICE, HEADER = 1 << 16, 1 << 20
+#: Algorithms of digests that are checked.
+ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
 DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -47,11 +58,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, sha: str, size: int, kind: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member."""
+def record(page_id: int, url: str | None, payload: bytes, sha: str, size: int, kind: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record as a gzip member; ``date`` is the time of its capture."""
     target = re.sub(r"[\r\n]+", " ", url or "").encode("utf-8", "replace").decode("utf-8")
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Target-URI: {target}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{sha}", f"X-Payload-Length: {size}", "Content-Type: text/html; charset=utf-8",
     ]
     if kind == "revisit":
@@ -61,7 +72,7 @@ def record(page_id: int, url: str | None, payload: bytes, sha: str, size: int, k
     return press.compress("\r\n".join(head).encode()) + press.compress(payload + b"\r\n\r\n") + press.flush()
 
 
-def writer(folder: str):
+def writer(folder: str, date: str):
     """Writes rows (page_id, url, html, sha, size, kind, refers_to); returns (path, records)."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +86,7 @@ def writer(folder: str):
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, size, records = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 payload = b"" if row["kind"] == "revisit" else (row["html"] or "").encode()
-                member = record(row["page_id"], row["url"], payload, row["sha"], row["size"], row["kind"], row["refers_to"])
+                member = record(row["page_id"], row["url"], payload, row["sha"], row["size"], row["kind"], row["refers_to"], date)
                 out.write(member)
                 size, records = size + len(member), records + 1
                 if size >= ARCHIVE:
@@ -91,64 +102,109 @@ def writer(folder: str):
     return write
 
 
-def parse(body: bytes) -> dict | None:
-    """The record that a text starts with, or None if a check fails."""
-    cut = body.find(b"\r\n\r\n")
-    if not body.startswith(VERSION) or cut < 0:
+def agrees(stated: str, data: bytes) -> bool:
+    """Whether a labelled digest, in base32 or hexadecimal, is that of ``data``; true if it can't be told."""
+    algorithm, _, value = stated.partition(":")
+    if algorithm.lower() not in ALGORITHMS:
+        return True
+    own = hashlib.new(algorithm.lower(), data).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
+def header(data: bytes, at: int = 0) -> tuple[dict, int, int] | None:
+    """Fields of the record at ``at``, and where its block begins and ends; None if that can't be read."""
+    cut = data.find(b"\r\n\r\n", at, at + HEADER)
+    if not data.startswith(VERSION, at) or cut < 0:
         return None
     head = {}
-    for line in body[:cut].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data[at:cut].decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             return None
         head[key.strip().lower()] = value.strip()
-    try:
-        size = int(head["content-length"])
-    except (KeyError, ValueError):
+    size = head.get("content-length", "")
+    return (head, cut + 4, cut + 4 + int(size)) if re.fullmatch("[0-9]{1,18}", size) else None
+
+
+def parse(data: bytes, at: int = 0) -> dict | None:
+    """The record that begins at ``at``, or None if a check fails."""
+    known = header(data, at)
+    if known is None:
         return None
-    payload = body[cut + 4 : cut + 4 + size]
-    if size < 0 or len(payload) != size or body[cut + 4 + size : cut + 8 + size] != b"\r\n\r\n":
+    head, begin, end = known
+    if data[end : end + 4] != b"\r\n\r\n":
+        return None
+    block = payload = bytes(data[begin:end])
+    if not agrees(head.get("warc-block-digest", ""), block):
         return None
     kind = head.get("warc-type", "")
-    sha = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and sha and digest(payload) != sha:
+    sure = kind != "revisit" and "warc-segment-number" not in head
+    if head.get("content-type", "").lower().startswith("application/http"):
+        top, blank, payload = block.partition(b"\r\n\r\n")
+        sure &= bool(blank) and not re.search(rb"(?im)^transfer-encoding:.*chunked", top)
+    sha = head.get("warc-payload-digest", "")
+    if sure and not agrees(sha, payload):
         return None
     page = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-record-id", ""))
     refers = re.fullmatch(r"<urn:page:(-?\d+)>", head.get("warc-refers-to", ""))
     length = head.get("x-payload-length", "")
     return {
-        "page_id": int(page[1]) if page else None, "payload_bytes": int(length) if kind == "revisit" and length.isdigit() else size,
-        "payload_digest": sha or digest(payload), "record_type": kind, "refers_to": int(refers[1]) if refers else None,
-        "url": head.get("warc-target-uri"), "payload": payload, "size": cut + 8 + size,
+        "page_id": int(page[1]) if page else None, "payload_bytes": int(length) if kind == "revisit" and length.isdigit() else len(payload),
+        "payload_digest": sha.partition(":")[2] or digest(payload), "record_type": kind, "refers_to": int(refers[1]) if refers else None,
+        "url": head.get("warc-target-uri"), "payload": payload, "end": end + 4,
     }
 
 
+def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
+    """Content and end of the gzip member at ``at``; None if it is damaged, does not begin with a
+    version line, or is longer than its header says."""
+    unzip, parts, piece, size, most = zlib.decompressobj(31), [], b"", 0, None
+    view, start = memoryview(data), at
+    try:
+        while not unzip.eof:
+            if start >= len(data) and len(piece) < SLICE:
+                return None
+            piece = unzip.decompress(view[start : start + SLICE], SLICE)
+            start += min(SLICE, len(data) - start) - len(unzip.unconsumed_tail)
+            parts.append(piece)
+            size += len(piece)
+            if most is None and size:
+                content = b"".join(parts)
+                parts = [content]
+                if not (content.startswith(VERSION) or VERSION.startswith(content)):
+                    return None
+                known = header(content)
+                if known is None and size > HEADER:
+                    return None
+                most = known and known[2] + 4
+            if most is not None and size > most:
+                return None
+    except zlib.error:
+        return None
+    return b"".join(parts), start - len(unzip.unused_data)
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
     """("record", start, end, fields) and ("gap", start, end, None) that cover all of ``data``."""
     at = gap = 0
     while at < len(data):
         found, end = None, at
         if data.startswith(MAGIC, at):
-            unzip = zlib.decompressobj(31)
-            try:
-                body = unzip.decompress(memoryview(data)[at:])
-                if unzip.eof:
-                    end = len(data) - len(unzip.unused_data)
-                    found = parse(body)
-                    found = found if found and found["size"] == len(body) else None
-            except zlib.error:
-                found = None
+            member = inflate(data, at)
+            found = member and parse(member[0])
+            if found:
+                found, end = (found, member[1]) if found["end"] == len(member[0]) else (None, at)
         elif data.startswith(VERSION, at):
-            found = parse(data[at:])
-            end = at + found["size"] if found else at
+            found = parse(data, at)
+            end = found["end"] if found else at
         if found:
             if gap < at:
                 yield "gap", gap, at, None
             yield "record", at, end, found
             at = gap = end
             continue
-        after = [x for x in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-        at = min(after, default=len(data))
+        after = START.search(data, at + 1)
+        at = after.start() if after else len(data)
     if gap < len(data):
         yield "gap", gap, len(data), None
 
@@ -180,8 +236,10 @@ def salvager(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, paths: str | list[str], with_payload: bool = True) -> DataFrame:
-    """Records and quarantined gaps (``kind``) of archives. One archive is read by one task."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    """Records and quarantined gaps (``kind``) of archives. One archive is read by one task.
+
+    A batch holds the archives of one scan partition at most, that is one archive or
+    ``spark.sql.files.maxPartitionBytes`` of smaller ones."""
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(salvager(with_payload), READ)
 
@@ -211,9 +269,10 @@ def planned(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
-    """Writes a record per page below ``folder``; returns the stored list of archives."""
-    small_batches(pages.sparkSession, 500)
-    return store(planned(pages, least_bytes).mapInArrow(writer(folder), "path string, records long"), "warc-files")
+    """Writes a record per page below ``folder``, dated now; returns the stored list of archives."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    with batches_of(pages.sparkSession, 500):
+        return store(planned(pages, least_bytes).mapInArrow(writer(folder, date), "path string, records long"), "warc-files")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
