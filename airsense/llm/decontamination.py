@@ -5,13 +5,18 @@ values has the same template. Windows of ``WIDTH`` template words of the benchma
 hash with the documents' windows. A document holds an item if enough of the item's windows are
 found in it and the slots agree: where the item names one value twice, so must the document.
 
+Slots are judged per place: hits of an item whose distance between document place and item place is
+about the same are one occurrence, so that a copy beside a variant with other values does not excuse
+either. Windows found word for word count whatever the slots say, and an item that is scattered over a
+document is found if its hits agree as a whole.
+
 Only DataFrame expressions. Documents are first reduced to those that share one of the benchmark's
 anchor words (of each window, its longest plain word), which every matching window holds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airsense.llm.tables import read, small_side
@@ -20,6 +25,8 @@ from airsense.sources.stored import store
 WIDTH = 8
 #: Share of an item's windows that a document must hold.
 COVERAGE = 0.4
+#: Words by which the distance may drift between two neighbouring hits of one occurrence.
+DRIFT = 4
 #: Anchor words that are tested as a literal list; beyond that all documents are windowed.
 ANCHORS = 50_000
 # Units of measure and currency.
@@ -71,21 +78,23 @@ def window_hash(i: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_windows (distinct windows of the item found), coverage, n_slots and
-    consistent, for documents that hold at least ``COVERAGE`` of an item's windows consistently.
+    consistent, for documents that hold at least ``COVERAGE`` of an item's windows consistently; of several such places
+    the one with most windows, ties to the larger number of slots.
 
     Null and empty texts match nothing; items of fewer than ``WIDTH`` words are not searched.
-    Repeated items each get their rows.
+    Rows of one item_id are one item, as are rows of one doc_id one document; a repeated item under another id gets rows of its own.
     """
     bench = store(windows(benchmark, "item_id"), "decontamination-windows")
+    # windows without a plain word (all slots) say nothing about an item: neither searched nor counted
+    bench = bench.where(F.exists("raw", plain))
     size = bench.groupBy("item_id").agg(F.countDistinct("window").alias("of"))
     anchor = bench.select(F.explode(F.slice(F.array_sort(F.transform(F.filter("raw", plain), lambda w: F.struct((-F.length(w)).alias("n"), F.lower(w).alias("word")))), 1, 1)).alias("a"))
-    # windows without a plain word (all slots) say nothing about an item
     anchors = [r.word for r in anchor.select("a.word").distinct().limit(ANCHORS + 1).collect()]
     docs = docs.select("doc_id", "text")
     if len(anchors) <= ANCHORS:
         own = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
         docs = docs.where(F.arrays_overlap(own, F.lit(anchors) if anchors else F.array().cast("array<string>")))
-    keys = bench.where(F.exists("raw", plain)).select("window").distinct()
+    keys = bench.select("window").distinct()
     chosen = store(docs, "decontamination-candidates")
     # hashes alone are exploded; the words of a window are cut out where it matched
     found = typed_words(chosen).select("doc_id", F.explode(F.transform(places(), window_hash)).alias("window"))
@@ -93,26 +102,37 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found.join(small_side(store(keys, "decontamination-keys")), "window").groupBy("doc_id").agg(F.collect_set("window").alias("wanted")),
         "decontamination-wanted",
     )
-    hit = F.filter(F.transform(places(), lambda i: F.struct(window_hash(i).alias("window"), F.slice("raw", i, WIDTH).alias("own"))), lambda x: F.array_contains("wanted", x["window"]))
+    hit = F.filter(F.transform(places(), lambda i: F.struct(i.alias("at"), window_hash(i).alias("window"), F.slice("raw", i, WIDTH).alias("own"))), lambda x: F.array_contains("wanted", x["window"]))
     hits = store(
-        typed_words(chosen.join(small_side(wanted), "doc_id")).select("doc_id", F.explode(hit).alias("h")).select("doc_id", "h.window", "h.own"),
+        typed_words(chosen.join(small_side(wanted), "doc_id")).select("doc_id", F.explode(hit).alias("h")).select("doc_id", "h.at", "h.window", "h.own"),
         "decontamination-hits",
     )
-    both = hits.distinct().join(small_side(bench.select("item_id", "window", F.col("raw").alias("asked")).distinct()), "window").where(
-        F.transform("own", template) == F.transform("asked", template)
-    )
-    count = both.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("n_windows"))
+    asked = bench.select("item_id", "place", "window", F.col("raw").alias("asked")).distinct()
+    both = hits.distinct().join(small_side(asked), "window").where(F.transform("own", template) == F.transform("asked", template))
+    # an occurrence: hits in the order of their distance, cut where it drifts
+    order = Window.partitionBy("doc_id", "item_id").orderBy("offset")
+    cut = F.col("offset") - F.lag("offset").over(order) > DRIFT
+    both = both.withColumn("offset", F.col("at") - F.col("place"))
+    both = both.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("occurrence", F.sum("cut").over(order))
+    both = store(both.select("doc_id", "item_id", "occurrence", "window", "own", "asked"), "decontamination-both")
+    # every hit counts for its occurrence, for the document as a whole (-1), and there again if it is word for word (-2)
+    verbatim = F.transform("own", F.lower) == F.transform("asked", F.lower)
+    groups = F.array_compact(F.array(F.col("occurrence"), F.lit(-1).cast("long"), F.when(verbatim, F.lit(-2).cast("long"))))
+    placed = both.withColumn("occurrence", F.explode(groups))
+    by = ["doc_id", "item_id", "occurrence"]
+    count = placed.groupBy(*by).agg(F.countDistinct("window").alias("n_windows"))
     slots = (
-        both.select("doc_id", "item_id", F.explode(F.arrays_zip("asked", "own")).alias("s")).where(~plain(F.col("s.asked")))
-        .groupBy("doc_id", "item_id", F.col("s.asked").alias("asked")).agg(F.countDistinct("s.own").alias("values"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("n_slots"), F.max("values").alias("most"))
+        placed.select(*by, F.explode(F.arrays_zip("asked", "own")).alias("s")).where(~plain(F.col("s.asked")))
+        .groupBy(*by, F.col("s.asked").alias("asked")).agg(F.countDistinct("s.own").alias("values"))
+        .groupBy(*by).agg(F.count("*").alias("n_slots"), F.max("values").alias("most"))
     )
     share = F.col("n_windows") / F.col("of")
-    return (
-        count.join(small_side(size), "item_id").where(share >= COVERAGE).join(slots, ["doc_id", "item_id"], "left")
-        .select("doc_id", "item_id", "n_windows", F.round(share, 6).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), (F.coalesce("most", F.lit(1)) == 1).alias("consistent"))
-        .where("consistent")
+    found = (
+        count.join(small_side(size), "item_id").where(share >= COVERAGE).join(slots, by, "left")
+        .where((F.coalesce("most", F.lit(1)) == 1) | (F.col("occurrence") == -2))
+        .groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", F.round(share, 6).alias("coverage"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"))).alias("best"))
     )
+    return found.select("doc_id", "item_id", "best.n_windows", "best.coverage", "best.n_slots", F.lit(True).alias("consistent"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
