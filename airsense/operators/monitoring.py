@@ -17,7 +17,7 @@ from airsense.schema import (
     LABELS,
     QUALITY_FLAGS,
 )
-from airsense.sources.stored import as_lookup
+from airsense.sources.stored import as_lookup, store
 
 # ---- fixed values ----
 STATION_HIGH_RISK = 0.8
@@ -25,6 +25,13 @@ HISTORY_HIGH_RISK = 0.7
 STATIONS_SHOWN = 6
 # ---- end of fixed values ----
 
+#: What the dashboard reads of a scored row, and the field that names a row of a section.
+SNAPSHOT_COLUMNS = (
+    "reading_id", "station_id", "station_type", "timestamp", "aqi", *ALERTS, "total_alerts", "max_risk_prob",
+    "dominant_risk", "scored_at", *QUALITY_FLAGS,
+)
+SNAPSHOT_KEYS = {"alerts": "reading_id", "stations": "station_id", "timeline": "timestamp", "labels": "label"}
+
 
 def _iso(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
@@ -191,7 +198,12 @@ def build_label_summary(
     df: DataFrame, training_rates: Mapping[str, float] = BASELINE_RATES
 ) -> DataFrame:
     """Current alert rate per label against the training rate."""
-    rows = [
+    return df.agg(*_rate_aggregates(df)).select(F.inline(F.array(*_label_rows(df, training_rates))))
+
+
+def _label_rows(df: DataFrame, training_rates: Mapping[str, float]) -> list[Column]:
+    """A struct per label, over the aggregated rates."""
+    return [
         F.struct(
             F.lit(label).alias("label"),
             F.lit(LABEL_TITLES[label]).alias("display_name"),
@@ -199,7 +211,6 @@ def build_label_summary(
         )
         for label, figures in _label_figures(df, training_rates).items()
     ]
-    return df.agg(*_rate_aggregates(df)).select(F.inline(F.array(*rows)))
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -273,11 +284,12 @@ def _monitoring_figures(
         "test_f1_macro": "f1_macro",
         "test_exact_match": "exact_match",
     }
+    metrics = _selected_metrics(model)
     return {
         "quality_flag_rate": F.coalesce(rnd(F.col("flag_rate"), 4), F.lit(0.0)),
         "cooccurrence_gap": _gap(baseline),
         "model": F.lit(model.get("selected_model")).cast("string"),
-        **{n: rnd(F.lit(float(model.get(key) or 0.0)), 4) for n, key in stored.items()},
+        **{n: rnd(F.lit(metrics.get(key, 0.0)), 4) for n, key in stored.items()},
     }
 
 
@@ -373,12 +385,18 @@ def history_bands(df: DataFrame) -> DataFrame:
 
 
 def _document(rows: DataFrame, section: str) -> DataFrame:
+    """Each row as a JSON text; times as the dashboard shows them."""
+    columns = [_iso(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in rows.schema]
     return rows.select(
         F.lit(section).alias("section"),
-        F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("document"),
+        F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("document"),
     )
 
 
+def _clock(now: Column | None) -> Column:
+    return F.current_timestamp() if now is None else now
+
+
 def build_snapshot(
     df: DataFrame,
     training_rates: Mapping[str, float] = BASELINE_RATES,
@@ -386,38 +404,82 @@ def build_snapshot(
     baseline: Sequence[Sequence[float]] | None = BASELINE_COOCCURRENCE,
     alert_limit: int = 8,
     timeline_points: int = 24,
+    now: Column | None = None,
 ) -> DataFrame:
     """Every dashboard section as rows ``section, document`` (JSON).
 
-    Sections that grow with the data (stations) stay rows of a table instead of one big cell.
+    Sections that grow with the data (stations) stay rows of a table instead of one big cell. ``df``
+    is run once: its dashboard columns are stored, the figures of four sections are one aggregate over them,
+    kept as one row, and alerts, stations and timeline read the columns they need.
     """
-    status = data_signature(df).select(
-        F.lit("ok").alias("status"), F.current_timestamp().alias("generated_at"), "data_signature"
+    rows = store(df.select(*[c for c in SNAPSHOT_COLUMNS if c in df.columns]), "snapshot-rows")
+    figures = store(
+        rows.agg(
+            *_overview_aggregates(rows), *_rate_aggregates(rows), *_monitoring_aggregates(rows),
+            _signature().alias("data_signature"),
+        ),
+        "snapshot-figures",
     )
+    status = figures.select(F.lit("ok").alias("status"), _clock(now).alias("generated_at"), "data_signature")
+    monitoring = [c.alias(n) for n, c in _monitoring_figures(model, baseline).items()]
     sections = {
         "status": status,
-        "overview": build_overview(df),
-        "alerts": build_recent_alerts(df, alert_limit),
-        "stations": build_station_summary(df),
-        "timeline": build_timeline(df, timeline_points),
-        "labels": build_label_summary(df, training_rates),
-        "monitoring": build_monitoring_summary(df, model, baseline),
+        "overview": figures.select(*OVERVIEW_COLUMNS),
+        "alerts": build_recent_alerts(rows, alert_limit),
+        "stations": build_station_summary(rows),
+        "timeline": build_timeline(rows, timeline_points),
+        "labels": figures.select(F.inline(F.array(*_label_rows(rows, training_rates)))),
+        "monitoring": figures.select(*monitoring),
         "model": _model_row(df.sparkSession, model),
     }
     documents = [_document(rows, name) for name, rows in sections.items()]
     return reduce(DataFrame.unionByName, documents)
 
 
-def empty_snapshot(spark: SparkSession, model: Mapping[str, object] = BASELINE_MODEL) -> DataFrame:
-    """The snapshot before any prediction exists: a status and the model, no other rows."""
-    status = spark.range(1).select(
-        F.lit("no_predictions").alias("status"), F.current_timestamp().alias("generated_at")
-    )
-    return _document(status, "status").unionByName(_document(_model_row(spark, model), "model"))
+def empty_snapshot(
+    spark: SparkSession, model: Mapping[str, object] = BASELINE_MODEL, now: Column | None = None
+) -> DataFrame:
+    """The snapshot before any prediction exists: status, zero figures and the model; alerts,
+    stations, timeline and labels have no rows."""
+    one = spark.range(1)
+    status = one.select(F.lit("no_predictions").alias("status"), _clock(now).alias("generated_at"))
+    zero = {c: F.lit(None).cast("timestamp") if c in OVERVIEW_TIMES else F.lit(0) for c in OVERVIEW_COLUMNS}
+    none = one.where("id < 0").select(F.lit(0.0).alias("flag_rate"), *[F.lit(0).alias(a) for a in ALERTS])
+    figures = none.agg(F.avg("flag_rate").alias("flag_rate"), *_pair_counts(ALERTS))
+    sections = {
+        "status": status,
+        "overview": one.select(*[c.alias(n) for n, c in zero.items()]),
+        "monitoring": figures.select(*[c.alias(n) for n, c in _monitoring_figures(model, None).items()]),
+        "model": _model_row(spark, model, thresholds=False),
+    }
+    return reduce(DataFrame.unionByName, [_document(rows, name) for name, rows in sections.items()])
 
 
-def _model_row(spark: SparkSession, model: Mapping[str, object]) -> DataFrame:
-    return spark.range(1).select(*[F.lit(value).alias(name) for name, value in model.items()])
+def snapshot_cells(snapshot: DataFrame) -> DataFrame:
+    """``section, item, field, number, text``: a snapshot's documents field by field, nulls left out."""
+    item = F.coalesce(*[F.when(F.col("section") == s, F.col("fields")[k]) for s, k in SNAPSHOT_KEYS.items()], F.lit(""))
+    cells = snapshot.withColumn("fields", F.from_json("document", "map<string, string>"))
+    cells = cells.select("section", item.alias("item"), F.explode("fields").alias("field", "value")).where("value is not null")
+    number = F.col("value").try_cast("double")
+    return cells.select("section", "item", "field", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+def _selected_metrics(model: Mapping[str, object]) -> dict[str, float]:
+    """The figures of the selected model, of a stored metrics document or of a flat mapping."""
+    stored = model.get("selected_metrics", model)
+    return {k: float(v) for k, v in stored.items() if isinstance(v, int | float) and k != "feature_count"}
+
+
+def _model_row(spark: SparkSession, model: Mapping[str, object], thresholds: bool = True) -> DataFrame:
+    """Name, feature count, metrics and thresholds; what the metrics document lacks is null or empty."""
+    candidate = model.get("candidate_metrics", {}).get(model.get("selected_model"), {})
+    shown = {"metrics": _selected_metrics(model), "thresholds": candidate.get("thresholds", {})}
+    documents = {n: F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) if m else F.create_map().cast("map<string, double>") for n, m in shown.items()}
+    return spark.range(1).select(
+        F.lit(model.get("selected_model")).cast("string").alias("selected_model"),
+        F.lit(model.get("feature_count")).cast("bigint").alias("feature_count"),
+        *[c.alias(n) for n, c in documents.items() if thresholds or n != "thresholds"],
+    )
 
 
 def _within(name: str, value: int, low: int, high: int) -> int:
@@ -445,10 +507,9 @@ def alerts_view(df: DataFrame, limit: int = 10) -> DataFrame:
 
 def data_signature(df: DataFrame) -> DataFrame:
     """Changes whenever scored rows were added or replaced: newest scoring time and row count."""
-    return df.agg(
-        F.concat_ws(
-            ":",
-            F.coalesce(F.unix_micros(F.max("scored_at")).cast("string"), F.lit("none")),
-            F.count("*").cast("string"),
-        ).alias("data_signature")
-    )
+    return df.agg(_signature().alias("data_signature"))
+
+
+def _signature() -> Column:
+    newest = F.coalesce(F.unix_micros(F.max("scored_at")).cast("string"), F.lit("none"))
+    return F.concat_ws(":", newest, F.count("*").cast("string"))

@@ -616,6 +616,45 @@ ORACLES["monitoring_report"] = over(
         ]
     ),
 )
+
+
+def snapshot_fields(section: str, source: str, item: str, numbers, texts) -> list[str]:
+    """A section's rows field by field; ``numbers`` and ``texts`` map fields to expressions."""
+    cells = [(f, f"cast({e} as double)", "cast(null as varchar)", e) for f, e in numbers.items()]
+    cells += [(f, "cast(null as double)", f"cast({e} as varchar)", e) for f, e in texts.items()]
+    return [
+        f"SELECT '{section}' AS section, {item} AS item, '{f}' AS field, {n} AS number, {t} AS text FROM {source} WHERE ({e}) IS NOT NULL"
+        for f, n, t, e in cells
+    ]
+
+
+def itself(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+_times = {c: _iso.format(c=c) for c in ("latest_timestamp", "latest_scored_at")}
+ORACLES["dashboard_snapshot"] = over(
+    f"{SCORED}, {OVERVIEW}, {STATIONS}, {LABEL_DRIFT}, {SUMMARY}, alerts AS ({ORACLES['recent_alerts'][len('WITH ' + SCORED):]}), "
+    f"timeline AS ({ORACLES['timeline'][len('WITH ' + SCORED):]})",
+    union(
+        snapshot_fields("status", "overview, (SELECT epoch_us(max(scored_at)) || ':' || count(*) AS signature FROM scored)", "''", {},
+                        {"status": "'ok'", "generated_at": "'2024-02-01T08:30:00'", "data_signature": "signature"})
+        + snapshot_fields("overview", "overview", "''", itself(*_numbers), _times)
+        + snapshot_fields("alerts", "alerts", "reading_id", itself("aqi", "total_alerts", "max_risk_prob"),
+                          itself("reading_id", "station_id", "station_type", "dominant_risk", '"timestamp"', "scored_at"))
+        + snapshot_fields("stations", "stations", "station_id", itself("aqi", "total_alerts", "max_risk_prob", "quality_flags"),
+                          itself("station_id", "station_type", "dominant_risk"))
+        + snapshot_fields("timeline", "timeline", _iso.format(c='"timestamp"'), itself("avg_aqi", "avg_total_alerts", "max_risk_prob", "active_rows"),
+                          {"timestamp": _iso.format(c='"timestamp"')})
+        + snapshot_fields("labels", "label_drift", "label", itself("current_rate", "training_rate", "rate_gap"), itself("label", "display_name"))
+        + snapshot_fields("monitoring", "summary", "''", itself("quality_flag_rate", "cooccurrence_gap", "test_hamming_loss", "test_f1_macro", "test_exact_match"),
+                          itself("model"))
+        + snapshot_fields("model", "overview", "''", {}, {
+            "selected_model": "'random_forest'", "thresholds": "'{}'",
+            "metrics": """'{"hamming_loss":0.0358,"f1_macro":0.9406409861019375,"exact_match":0.834}'""",
+        })
+    ).replace("'\"timestamp\"' AS field", "'timestamp' AS field"),
+)
 ORACLES["health_slice"] = over(
     f"{SCORED}, {OVERVIEW}",
     """SELECT case when readings_scored > 0 then 'ok' else 'no_predictions' end AS status,

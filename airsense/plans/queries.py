@@ -489,7 +489,8 @@ def monitoring_report(spark, sf_dir):
 
 @query
 def dashboard_snapshot(spark, sf_dir):
-    return monitoring.build_snapshot(scored(spark, sf_dir))
+    """All sections of the dashboard at a fixed time, field by field."""
+    return monitoring.snapshot_cells(monitoring.build_snapshot(scored(spark, sf_dir), now=now()))
 
 
 @query

@@ -6,6 +6,7 @@ repeated batch after a failure replaces itself. Readers see the last write per `
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,10 +21,9 @@ from airsense.sources.artifacts import write_json_rows
 from airsense.sources.history import (
     BATCH_COLUMN, last_write_wins, read_predictions, read_table, write_batch,
 )
-from airsense.sources.stored import store
 
-READINGS, PREDICTIONS, REJECTED, ROLLED, TAILS = (
-    "readings", "predictions", "rejected", "rolled", "tails",
+READINGS, PREDICTIONS, REJECTED, ROLLED, TAILS, SNAPSHOT = (
+    "readings", "predictions", "rejected", "rolled", "tails", "snapshot",
 )
 POLL = "5 seconds"
 
@@ -80,12 +80,44 @@ def refresh_dashboard(
         return last_signature
     signature = data_signature(table).first()[0]
     if signature != last_signature:
-        # Every section of the snapshot reads it: the last writes are picked once.
-        latest = store(current(spark, folder, PREDICTIONS, order_column), "current")
-        write_json_rows(build_snapshot(latest, **options), f"{folder}/snapshot")
+        # The snapshot stores what it reads of the last writes: they are picked once.
+        latest = current(spark, folder, PREDICTIONS, order_column)
+        shown = build_snapshot(latest, **options).withColumn("table_signature", F.lit(signature))
+        write_json_rows(shown, f"{folder}/{SNAPSHOT}")
     return signature
 
 
+def shown_signature(spark: SparkSession, folder: str) -> str | None:
+    """The state of the predictions that the stored snapshot shows; None without a snapshot.
+
+    It is part of the snapshot's own rows, so that both change in one write."""
+    try:
+        rows = spark.read.schema("table_signature string").json(f"{folder}/{SNAPSHOT}")
+        found = rows.agg(F.min("table_signature")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found[0]
+
+
+def start_dashboard(
+    changes: DataFrame, folder: str, order_column: str, trigger: dict | None = None, **options
+) -> StreamingQuery:
+    """The dashboard kept up to date by a stream over the predictions table.
+
+    ``changes`` is that table as a stream, of any columns; its rows only say that something arrived. What is
+    shown is decided by the stored snapshot: a batch that adds no scored rows, and a batch repeated after
+    a restart, leave it as it is.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        refresh_dashboard(spark, folder, order_column, shown_signature(spark, folder), **options)
+
+    return _start(changes, folder, "dashboard", handle, trigger)
+
+
 def start_rolling(
     readings: DataFrame, folder: str, trigger: dict | None = None
 ) -> StreamingQuery:

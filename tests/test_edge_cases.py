@@ -199,7 +199,7 @@ def test_monitoring_without_optional_columns(spark):
 
 def test_snapshot_without_predictions_and_view_bounds(spark):
     rows = {r["section"]: r["document"] for r in monitoring.empty_snapshot(spark).collect()}
-    assert set(rows) == {"status", "model"}
+    assert set(rows) == {"status", "overview", "monitoring", "model"}
     assert '"status":"no_predictions"' in rows["status"]
     empty = spark.createDataFrame([], "reading_id string")
     for call in (

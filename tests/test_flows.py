@@ -195,3 +195,41 @@ def test_train_save_load_score(spark, tmp_path, raw):
     assert first.where("total_alerts <> length(replace(alert_signature, '0', ''))").isEmpty()
     unseen = raw.withColumn("station_id", F.lit("never seen"))
     assert score_readings(unseen, loaded).where(f"{PROBS[0]} is null").isEmpty()
+
+
+def test_dashboard_follows_changes(spark, tmp_path, raw):
+    import glob
+
+    folder, table = str(tmp_path / "board"), str(tmp_path / "board" / ingest.PREDICTIONS)
+    rows = add_fixture_scores(clean.clean_rows(raw)).withColumns({"source": F.col("reading_id"), "payload_position": F.lit(0)})
+
+    def run():
+        changes = spark.readStream.schema("reading_id string").parquet(table)
+        ingest.start_dashboard(changes, folder, "source", {"availableNow": True}).awaitTermination()
+        return sorted(glob.glob(f"{folder}/{ingest.SNAPSHOT}/part-*"))
+
+    history.write_batch(rows.limit(100), table, 0)
+    first = run()
+    assert first and ingest.shown_signature(spark, folder).endswith(":100")
+    history.write_batch(rows.limit(0), table, 1)
+    assert run() == first  # an empty batch, after a restart
+    assert run() == first  # nothing new at all
+    history.write_batch(rows.exceptAll(rows.limit(100)).limit(7), table, 2)
+    assert run() != first and ingest.shown_signature(spark, folder).endswith(":107")
+
+
+def test_snapshot_of_a_stored_model(spark, raw):
+    from airsense.operators import monitoring
+
+    stored = {"selected_model": "m", "feature_count": 75, "selected_metrics": {"f1_macro": 0.5}, "candidate_metrics": {"m": {"thresholds": {LABELS[0]: 0.25}}}}
+    stamp = F.lit(datetime(2024, 2, 1)).cast("timestamp")
+    full = monitoring.build_snapshot(add_fixture_scores(clean.clean_rows(raw)), model=stored, now=stamp)
+    none = monitoring.empty_snapshot(spark, stored, stamp)
+    documents = {r["section"]: json.loads(r["document"]) for r in full.collect()}
+    empty = {r["section"]: json.loads(r["document"]) for r in none.collect()}
+    assert documents["model"] == {"selected_model": "m", "feature_count": 75, "metrics": {"f1_macro": 0.5}, "thresholds": {LABELS[0]: 0.25}}
+    assert documents["monitoring"]["test_f1_macro"] == 0.5 and documents["status"]["generated_at"] == "2024-02-01T00:00:00"
+    assert set(empty) == {"status", "overview", "monitoring", "model"} and empty["status"]["status"] == "no_predictions"
+    assert empty["overview"] == {c: None if "latest" in c else 0 for c in monitoring.OVERVIEW_COLUMNS}
+    assert (empty["monitoring"]["quality_flag_rate"], empty["monitoring"]["cooccurrence_gap"]) == (0.0, 0.0)
+    assert empty["model"] == {"selected_model": "m", "feature_count": 75, "metrics": {"f1_macro": 0.5}}
