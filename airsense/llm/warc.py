@@ -165,7 +165,8 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
             if start >= len(data) and len(piece) < SLICE:
                 return None
             piece = unzip.decompress(view[start : start + SLICE], SLICE)
-            start += min(SLICE, len(data) - start) - len(unzip.unconsumed_tail)
+            # at the end of a member the rest is unused_data, whatever unconsumed_tail still holds
+            start += min(SLICE, len(data) - start) - len(unzip.unused_data if unzip.eof else unzip.unconsumed_tail)
             parts.append(piece)
             size += len(piece)
             if most is None and size:
@@ -181,7 +182,7 @@ def inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
                 return None
     except zlib.error:
         return None
-    return b"".join(parts), start - len(unzip.unused_data)
+    return b"".join(parts), start
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:

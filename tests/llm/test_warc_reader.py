@@ -70,3 +70,10 @@ def test_settings_and_dates(spark, tmp_path):
 def test_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op2_warc(spark, str(tmp_path)).isEmpty()
+
+
+def test_long_payloads_between_short_ones():
+    bodies = [b"a", b"b" * 300_000, b"c", bytes(range(256)) * 2_000, b"d"]
+    data = b"".join(warc.record(i, "u", b, warc.digest(b), 0, "response", None) for i, b in enumerate(bodies))
+    parts = list(warc.salvage(data))
+    assert [p[3]["payload"] for p in parts] == bodies and all(a[2] == b[1] for a, b in zip(parts, parts[1:])) and parts[-1][2] == len(data)
