@@ -1,57 +1,71 @@
 """LM scoring with Brown classes: a class-based bigram model whose classes come from exchange
-clustering.
-
-The ``TOP`` most frequent words of the training documents are symbols of their own; every other
-word is one of ``TAILS`` symbols by its last byte. Bigrams of symbols are counted over all training
-documents. Exchange clustering then moves one symbol at a time to the class that raises the
-likelihood of the class bigrams most, until a round moves none. A text's probability is the
-product, over its tokens and the end, of the class transition and the word given its class:
+clustering of the whole training vocabulary.
+
+1. Documents are gathered: a gathering holds the distinct words of some documents and the documents
+   as sequences of them. Gatherings are stored, one row each.
+2. A gathering sends its distinct words to the words' buckets, which count them. There are as many
+   buckets as the words call for, so that a bucket stays of bounded size.
+3. The ``SEEDS`` most frequent words shape the classes: exchange clustering moves one of them at a
+   time to the class that raises the likelihood of the class bigrams most, until a round moves none.
+   Less frequent words take part as ``TAILS`` symbols by their last byte.
+4. Every other training word is then exchanged on its own. Its bucket adds up which classes stand
+   before and behind it, in all training documents, and gives it the class that makes these, and
+   the word itself, likeliest. Only the class table, of fixed size, is sent to the tasks.
+5. Buckets send the words' classes and counts back to the gatherings, whose documents become
+   sequences of classes. Class bigrams are counted over all training documents; a text's
+   probability is the product, over its tokens and the end, of
 
     p(class | class before) = (n(before, class) + 0.5) / (n(before) + 0.5 K)
     p(word | class)         = (c(word) + 0.1) / (c(class) + 0.1 (V(class) + 1))
 
-Counts of single words grow with the corpus and never leave the tasks: each gathering of documents
-sends its distinct words, with the documents that hold them, to the word's bucket; the bucket knows
-the word's count and returns one partial sum of log10(c + 0.1) per document. Only the counts of the
-top words and the (TOP + TAILS + 1) squared symbol bigrams, both of fixed size, reach the driver.
+A word that no training document holds has the class most words with its last byte have. The
+number of classes grows with the cube root of the vocabulary, from ``CLASSES`` to ``MOST_CLASSES``.
+To the driver go the seeds, squared tables of symbols and of classes, and (last byte, class) counts.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airsense.llm.tables import partitions, read
-from airsense.llm.text import LOWER, NOT_SPACE, column_bytes, pieces, row_words, small_batches, span_hashes, word_spans
+from airsense.llm.text import LOWER, NOT_SPACE, batches_of, column_bytes, pieces, row_words, span_hashes, word_spans
 from airsense.sources.stored import store
 
-TOP, TAILS, CLASSES = 400, 32, 32
+SEEDS, TAILS = 400, 32
+#: Classes at least, and at most (they are kept as bytes).
+CLASSES, MOST_CLASSES = 32, 128
 ADD = 0.1
-#: Tokens that a task gathers before it emits their counts.
-FLUSH = 3_000_000
-#: A hash that stands for the end of a text.
-END = np.uint64(0x5EED0E2D0F7E87A1)
+#: Tokens that a task gathers, and distinct words of gatherings that a bucket receives, about.
+FLUSH, BUCKET = 1_500_000, 4_000_000
+#: The class of words without a class yet.
+UNSEEN = 255
 
-WORDS = "bucket int, gathering long, hashes binary, tails binary, trained binary, docs binary, n_docs binary, at binary, times binary"
-WORDS_ARROW = pa.schema([("bucket", pa.int32()), ("gathering", pa.int64()), *[(x, pa.binary()) for x in ("hashes", "tails", "trained", "docs", "n_docs", "at", "times")]])
-SUMS = "kind int, id long, known long, total double, sums binary"
-SUMS_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("known", pa.int64()), ("total", pa.float64()), ("sums", pa.binary())])
-#: Kinds of rows of a bucket: partial sums of a gathering's documents (id: the gathering); a frequent
-#: word (id: hash, known: tail, total: count); words by tail (id: tail, known: distinct, total: tokens).
-DOC, WORD, TAIL = 0, 1, 2
-SUM = np.dtype([("doc", np.int64), ("known", np.uint32), ("total", np.float64)])
+GATHERED = "gathering long, n_words long, ids array<bigint>, lengths binary, tokens binary, hashes binary, tails binary"
+GATHERED_ARROW = pa.schema([("gathering", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("lengths", "tokens", "hashes", "tails")]])
+SENT = "bucket int, gathering long, hashes binary, tails binary, counts binary, n_near binary, near binary, times binary"
+SENT_ARROW = pa.schema([("bucket", pa.int32()), ("gathering", pa.int64()), *[(x, pa.binary()) for x in ("hashes", "tails", "counts", "n_near", "near", "times")]])
+COUNTED = "hash long, tail int, count long, distinct long"
+#: ``kind`` 0: counts and classes of a gathering's words of a bucket; 2: (last byte, class) counts.
+CLASSED = "kind int, gathering long, bucket int, counts binary, classes binary"
+CLASSED_ARROW = pa.schema([("kind", pa.int32()), ("gathering", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("classes", pa.binary())])
+SEQUENCES = "ids array<bigint>, lengths binary, classes binary, known binary, totals binary"
+SEQUENCES_ARROW = pa.schema([("ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("lengths", "classes", "known", "totals")]])
 
 
-def held_out(doc_id: int, folds: int = 10) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % folds == 0
+def held_out(doc_id: int | None, folds: int = 10) -> bool:
+    """Whether a document is kept out of training; one without an id is not."""
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-def documents_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def documents_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
     """(doc_id, word hashes, last bytes of the words) of each row, A-Z lower-cased."""
     data, offsets = column_bytes(batch.column("text"))
     ids = batch.column("doc_id").to_pylist()
@@ -67,128 +81,135 @@ def documents_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.nd
             yield ids[k], hashes[a:b], tails[a:b]
 
 
-def word_emitter(buckets: int):
-    """Distinct words of a gathering by bucket, with the documents that hold them."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            doc = np.concatenate([np.full(len(h) + 1, k, np.uint32) for k, (_, h, _) in enumerate(held)])
-            word = np.concatenate([np.append(h, END) for _, h, _ in held])
-            tail = np.concatenate([np.append(t, 0) for _, _, t in held]).astype(np.uint8)
-            ids = np.array([x[0] for x in held], np.int64)
-            train = np.array([not held_out(x[0]) for x in held])
-            order = np.lexsort((doc, word, word % np.uint64(buckets)))
-            doc, word, tail = doc[order], word[order], tail[order]
-            new = np.concatenate(([True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])))
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(word)))
-            doc, word, tail = doc[first], word[first], tail[first]
-            bucket = (word % np.uint64(buckets)).astype(np.int64)
-            rows = []
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                heads = np.flatnonzero(np.concatenate(([True], word[a + 1 : b] != word[a : b - 1])))
-                used, at = np.unique(doc[a:b], return_inverse=True)
-                counted = np.add.reduceat(times[a:b] * train[doc[a:b]], heads)
-                rows.append((
-                    int(bucket[a]), int(ids[0]), word[a:b][heads].tobytes(), tail[a:b][heads].tobytes(), counted.astype(np.uint32).tobytes(),
-                    ids[used].tobytes(), np.diff(np.append(heads, b - a)).astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes(), times[a:b].astype(np.uint32).tobytes(),
-                ))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), WORDS_ARROW, strict=True)], schema=WORDS_ARROW)
-                rows = []
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of a partition sorted by ``key``, those of one value together."""
+    for value, rows in groupby((r for b in batches for r in b.to_pylist()), lambda r: r[key]):
+        yield value, list(rows)
+
+
+def numbers(row: dict, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(row[name], kind)
+
+
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gatherings of a partition's documents, numbered within the partition."""
+    task, made = TaskContext.get().partitionId(), 0
+
+    def row(held: list[tuple]) -> pa.RecordBatch:
+        hashes, first, tokens = np.unique(np.concatenate([h for _, h, _ in held]), return_index=True, return_inverse=True)
+        tails = np.concatenate([t for _, _, t in held])[first]
+        lengths = np.array([len(h) for _, h, _ in held], np.int64)
+        return rows_of([((task << 32) + made, len(hashes), [x[0] for x in held], lengths.tobytes(), tokens.astype(np.uint32).tobytes(), hashes.tobytes(), tails.tobytes())], GATHERED_ARROW)
+
+    held: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for x in documents_of(batch):
+            held.append(x)
+            size += len(x[1]) + 1
+            if size >= FLUSH:
+                yield row(held)
+                held, size, made = [], 0, made + 1
+    if held:
+        yield row(held)
+
+
+def trained(row: dict) -> np.ndarray:
+    return np.array([not held_out(i) for i in row["ids"]], bool)
+
 
+def with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' values in order with ``end`` before, between and after them, and for each step
+    from one to the next the document it belongs to."""
+    out = np.full(len(values) + len(lengths) + 1, end, np.int64)
+    out[np.arange(len(values)) + np.repeat(np.arange(len(lengths)), lengths) + 1] = values
+    return out, np.repeat(np.arange(len(lengths)), lengths + 1)
+
+
+def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of words by bucket, the buckets in it and the bounds of their words."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    return order, used, np.append(first, len(order))
+
+
+def sender(buckets: int, seeds: np.ndarray | None = None, label: np.ndarray | None = None):
+    """Distinct words of gatherings, with counts in training documents, to their buckets; with
+    ``label`` (classes of symbols) also the classes before and behind them."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in documents_of(batch):
-                held.append(x)
-                size += len(x[1]) + 1
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    return emit
-
-
-def _rows(kind: int, ids: np.ndarray, known: np.ndarray, total: np.ndarray, sums: list | None = None) -> pa.RecordBatch:
-    blobs = pa.array(sums or [None] * len(ids), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), pa.array(known), pa.array(total), blobs], schema=SUMS_ARROW)
-
-
-def count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of a partition's buckets, and what each document gets from them."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    if not rows:
-        return
-    get = lambda name, kind: [np.frombuffer(r[name], kind) for r in rows]
-    hashes, tails, trained = get("hashes", np.uint64), get("tails", np.uint8), get("trained", np.uint32)
-    words, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    count = np.bincount(back, np.concatenate(trained).astype(np.float64), len(words))
-    tail = np.concatenate(tails)[first]
-    logs = np.log10(count + ADD)
-    at = 0
-    for gathering, h, docs, n_docs, where, times in zip([r["gathering"] for r in rows], hashes, get("docs", np.int64), get("n_docs", np.uint32), get("at", np.uint32), get("times", np.uint32), strict=True):
-        mine = back[at : at + len(h)]
-        at += len(h)
-        pair = np.repeat(mine, n_docs)
-        total = np.bincount(where, times * logs[pair], len(docs))
-        known = np.bincount(where, times * (count[pair] > 0), len(docs)).astype(np.int64)
-        sums = np.empty(len(docs), SUM)
-        sums["doc"], sums["known"], sums["total"] = docs, known, total
-        yield _rows(DOC, np.array([gathering]), np.zeros(1, np.int64), np.zeros(1), [sums.tobytes()])
-    real = words != END
-    best = np.flatnonzero(real)[np.lexsort((words[real], -count[real]))][:TOP]
-    best = best[count[best] > 0]
-    if (~real).any():
-        best = np.append(best, np.flatnonzero(~real))
-    yield _rows(WORD, words[best].view(np.int64), tail[best].astype(np.int64), count[best])
-    seen = (count > 0) & real
-    distinct = np.bincount(tail[seen], minlength=TAILS)
-    tokens = np.bincount(tail[seen], count[seen], minlength=TAILS)
-    yield _rows(TAIL, np.arange(TAILS), distinct, tokens)
-
-
-def add_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums of a partition's gatherings to one row per document."""
-    parts = [np.frombuffer(x, SUM) for b in batches for x in b.column("sums").to_pylist()]
-    if not parts:
-        return
-    sums = np.concatenate(parts)
-    docs, back = np.unique(sums["doc"], return_inverse=True)
-    known, total = np.bincount(back, sums["known"]).astype(np.int64), np.bincount(back, sums["total"])
-    for i in range(0, len(docs), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (docs, known, total)], names=["doc_id", "n_known", "total"])
-
-
-def symbols(hashes: np.ndarray, tails: np.ndarray, top: np.ndarray) -> np.ndarray:
-    """Symbols of one text's words, with the end before and after them. ``top`` is sorted."""
-    out = len(top) + tails.astype(np.int64)
-    if len(top):
-        place = np.minimum(np.searchsorted(top, hashes), len(top) - 1)
-        out = np.where(top[place] == hashes, place, out)
-    return np.concatenate(([len(top) + TAILS], out, [len(top) + TAILS]))
-
-
-def bigram_counter(top: np.ndarray):
-    size = len(top) + TAILS + 1
+            for row in batch.to_pylist():
+                hashes, tails, tokens, lengths = numbers(row, "hashes", np.uint64), numbers(row, "tails", np.uint8), numbers(row, "tokens", np.uint32), numbers(row, "lengths", np.int64)
+                use = np.repeat(trained(row), lengths)
+                counts = np.bincount(tokens[use], minlength=len(hashes)).astype(np.int64)
+                bounds, near, times = np.zeros(len(hashes) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if label is not None:
+                    k = int(label.max())  # the end's class is the last
+                    line, _ = with_ends(label[symbols(hashes, tails, seeds)][tokens], lengths, k)
+                    at = np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)), lengths) + 1
+                    word, at = tokens[use].astype(np.int64), at[use]
+                    pair, times = np.unique(np.concatenate((word * (2 * k + 2) + line[at + 1], word * (2 * k + 2) + k + 1 + line[at - 1])), return_counts=True)
+                    near = pair % (2 * k + 2)
+                    bounds = np.searchsorted(pair, np.arange(len(hashes) + 1) * (2 * k + 2))
+                order, used, cuts = by_bucket(hashes, buckets)
+                n_near = np.diff(bounds)
+                for b, low, high in zip(used, cuts[:-1], cuts[1:], strict=True):
+                    mine = order[low:high]
+                    n = n_near[mine]
+                    some = np.repeat(bounds[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    yield rows_of([(
+                        int(b), row["gathering"], hashes[mine].tobytes(), tails[mine].tobytes(), counts[mine].tobytes(),
+                        n.astype(np.uint32).tobytes(), near[some].astype(np.uint16).tobytes(), times[some].astype(np.uint32).tobytes(),
+                    )], SENT_ARROW)
+
+    return send
+
+
+def add_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, their last bytes, their counts, place of each row's words in them) of a bucket."""
+    words, first, back = np.unique(np.concatenate([numbers(r, "hashes", np.uint64) for r in rows]), return_index=True, return_inverse=True)
+    counts = np.zeros(len(words), np.int64)
+    np.add.at(counts, back, np.concatenate([numbers(r, "counts", np.int64) for r in rows]))
+    return words, np.concatenate([numbers(r, "tails", np.uint8) for r in rows])[first], counts, back
+
+
+def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The most frequent words of each bucket, and a row without a word: all tokens and words."""
+    names = ["hash", "tail", "count", "distinct"]
+    for _, rows in runs(batches, "bucket"):
+        words, tails, counts, _ = add_up(rows)
+        best = np.lexsort((words.view(np.int64), -counts))[:SEEDS]
+        best = best[counts[best] > 0]
+        yield pa.RecordBatch.from_arrays([
+            pa.array([*words[best].view(np.int64).tolist(), None], pa.int64()), pa.array([*tails[best].tolist(), None], pa.int32()),
+            pa.array([*counts[best].tolist(), int(counts.sum())], pa.int64()), pa.array([*[1] * len(best), int((counts > 0).sum())], pa.int64()),
+        ], names=names)
+
+
+def symbols(hashes: np.ndarray, tails: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Symbols of words: a seed's place among the ``seeds`` (sorted), else one by its last byte."""
+    out = len(seeds) + tails.astype(np.int64)
+    if len(seeds):
+        place = np.minimum(np.searchsorted(seeds, hashes), len(seeds) - 1)
+        out = np.where(seeds[place] == hashes, place, out)
+    return out
+
+
+def bigram_counter(size: int, line_of):
+    """Bigrams of the training documents; ``line_of`` gives a row's values, the end is the last."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
-        held, n = [], 0
         for batch in batches:
-            for doc, hashes, tails in documents_of(batch):
-                if not held_out(doc):
-                    s = symbols(hashes, tails, top)
-                    held.append(s[:-1] * size + s[1:])
-                    n += len(s)
-                    if n > 1_000_000:
-                        total += np.bincount(np.concatenate(held), minlength=size * size)
-                        held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=size * size)
+            for row in batch.to_pylist():
+                line, doc = with_ends(line_of(row), numbers(row, "lengths", np.int64), size - 1)
+                total += np.bincount((line[:-1] * size + line[1:])[trained(row)[doc]], minlength=size * size)
         at = np.flatnonzero(total)
         for i in range(0, len(at), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(total[at[i : i + 50_000]])], names=["bigram", "times"])
@@ -196,16 +217,25 @@ def bigram_counter(top: np.ndarray):
     return count
 
 
+def bigrams_of(rows: DataFrame, size: int, line_of) -> np.ndarray:
+    out = np.zeros(size * size, np.int64)
+    for r in rows.mapInArrow(bigram_counter(size, line_of), "bigram long, times long").groupBy("bigram").agg(F.sum("times").alias("times")).collect():
+        out[r.bigram] = r.times
+    return out.reshape(size, size)
+
+
+def plogp(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
 def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = 12) -> np.ndarray:
     """A class for each symbol: the last symbol (the end) has the last class to itself.
 
-    Starts with symbols dealt by frequency; a round offers each symbol every class and takes the
-    one of the highest likelihood sum n log n over class bigrams less both margins.
+    Starts with symbols dealt by frequency; a round takes each symbol out of its class and puts it
+    where the likelihood, sum n log n over class bigrams less both margins, grows most.
     """
     n = len(bigrams) - 1
-    if n <= 0:
-        return np.zeros(len(bigrams), np.int64)
-    classes = min(classes, n)
+    classes = max(1, min(classes, n))
     order = np.argsort(-bigrams[:-1].sum(1), kind="stable")
     label = np.empty(n + 1, np.int64)
     label[order] = np.arange(n) % classes
@@ -213,39 +243,27 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
     onehot = np.zeros((n + 1, classes + 1))
     onehot[np.arange(n + 1), label] = 1
     big = bigrams.astype(np.float64)
-    plogp = lambda x: x * np.log(np.maximum(x, 1))
-
-    def value(table: np.ndarray) -> float:
-        return plogp(table).sum() - plogp(table.sum(0)).sum() - plogp(table.sum(1)).sum()
-
+    table = onehot.T @ big @ onehot
     for _ in range(rounds):
         moved = 0
         for w in order:
             old = label[w]
             onehot[w, old] = 0
-            out, back = big[w] @ onehot, big[:, w] @ onehot
-            own = big[w, w]
-            rest = onehot.T @ big @ onehot if w == order[0] else table  # noqa: F821
-            if w != order[0]:
-                rest = rest.copy()
-                rest[old, :] -= out
-                rest[:, old] -= back
-                rest[old, old] -= own
-            best, at = -np.inf, old
-            for c in range(classes):
-                rest[c, :] += out
-                rest[:, c] += back
-                rest[c, c] += own
-                v = value(rest)
-                rest[c, c] -= own
-                rest[:, c] -= back
-                rest[c, :] -= out
-                if v > best + 1e-9:
-                    best, at = v, c
-            rest[at, :] += out
-            rest[:, at] += back
-            rest[at, at] += own
-            table = rest
+            out, back, own = big[w] @ onehot, big[:, w] @ onehot, big[w, w]
+            table[old, :] -= out
+            table[:, old] -= back
+            table[old, old] -= own
+            # both sides of every class; where they meet the word is added at once
+            gain = (plogp(table + out) - plogp(table)).sum(1) + (plogp(table + back[:, None]) - plogp(table)).sum(0)
+            meet = table.diagonal()
+            gain += plogp(meet + out + back + own) - plogp(meet + out) - plogp(meet + back) + plogp(meet)
+            before, behind = table.sum(1) + back, table.sum(0) + out
+            gain -= plogp(before + out.sum() + own) - plogp(before) + plogp(behind + back.sum() + own) - plogp(behind)
+            best = int(np.argmax(gain[:classes]))
+            at = best if gain[best] > gain[old] + 1e-9 else old
+            table[at, :] += out
+            table[:, at] += back
+            table[at, at] += own
             onehot[w, at] = 1
             label[w] = at
             moved += at != old
@@ -254,68 +272,144 @@ def exchange_clusters(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
     return label
 
 
-def scorer(top: np.ndarray, label: np.ndarray, step: np.ndarray, emit: np.ndarray):
-    """What a text's score has besides the words' own counts; ``emit`` by class."""
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("local", pa.float64())])
+def fit_of_classes(between: np.ndarray) -> np.ndarray:
+    """Log probability, by class of a word (columns), of a class behind it and of one before it (rows);
+    the latter with the word's share of its class."""
+    k = len(between) - 1
+    step = np.log((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * (k + 1)))
+    return np.concatenate((step[:k].T, step[:, :k] - np.log(between.sum(0)[:k] + 0.5)))
+
+
+def classes_of(words: int, at: np.ndarray, near: np.ndarray, times: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """The likeliest class of each word from (word, class near it, times); ties: the smaller class."""
+    out = np.full(words, UNSEEN, np.uint8)
+    pair, back = np.unique(at * len(fit) + near, return_inverse=True)
+    times = np.bincount(back, times)
+    word, near = pair // len(fit), pair % len(fit)
+    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+    i = 0
+    while i < len(first):
+        # words with about 30,000 entries together
+        j = max(i + 1, int(np.searchsorted(first, first[i] + 30_000)))
+        low, high = int(first[i]), int(first[j]) if j < len(first) else len(word)
+        value = np.add.reduceat(fit[near[low:high]] * times[low:high, None], first[i:j] - low)
+        out[word[first[i:j]]] = np.argmax(value, 1)
+        i = j
+    return out
+
+
+def class_giver(seeds: np.ndarray, label: np.ndarray, fit: np.ndarray):
+    """Classes of a bucket's words, sent to the gatherings that hold them."""
+    k = int(label.max())
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((TAILS, k + 1), np.int64)
+        for bucket, rows in runs(batches, "bucket"):
+            words, tails, counts, back = add_up(rows)
+            at = np.repeat(back, np.concatenate([numbers(r, "n_near", np.uint32) for r in rows]))
+            near, times = (np.concatenate([numbers(r, x, t) for r in rows]).astype(np.int64) for x, t in (("near", np.uint16), ("times", np.uint32)))
+            own = classes_of(len(words), at, near, times, fit)
+            place = symbols(words, np.zeros(len(words), np.uint8), seeds)
+            own = np.where((place < len(seeds)) & (counts > 0), label[np.minimum(place, len(label) - 1)], own).astype(np.uint8)
+            np.add.at(table, (tails[counts > 0], own[counts > 0]), 1)
+            low = 0
+            for r in rows:
+                mine = back[low : low + len(r["tails"])]
+                low += len(mine)
+                yield rows_of([(0, r["gathering"], bucket, counts[mine].tobytes(), own[mine].tobytes())], CLASSED_ARROW)
+        yield rows_of([(2, None, None, table.tobytes(), None)], CLASSED_ARROW)
+
+    return give
+
+
+def attacher(buckets: int, of_tail: np.ndarray):
+    """Documents of gatherings as classes, with how many tokens are known and the sum of
+    log10(count + 0.1); the words' classes come before the gathering itself."""
+
+    def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in runs(batches, "gathering"):
+            row = rows.pop()
+            hashes, lengths, tokens = numbers(row, "hashes", np.uint64), numbers(row, "lengths", np.int64), numbers(row, "tokens", np.uint32)
+            counts, own = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.uint8)
+            order, used, cuts = by_bucket(hashes, buckets)
+            sent = {r["bucket"]: r for r in rows}
+            for b, low, high in zip(used.tolist(), cuts[:-1], cuts[1:], strict=True):
+                counts[order[low:high]], own[order[low:high]] = numbers(sent[b], "counts", np.int64), numbers(sent[b], "classes", np.uint8)
+            own = np.where(own == UNSEEN, of_tail[numbers(row, "tails", np.uint8)], own).astype(np.uint8)
+            doc = np.repeat(np.arange(len(lengths)), lengths)
+            known = np.bincount(doc, counts[tokens] > 0, len(lengths)).astype(np.int64)
+            totals = np.bincount(doc, np.log10(counts + ADD)[tokens], len(lengths)).astype(np.float64)
+            yield rows_of([(row["ids"], row["lengths"], own[tokens].tobytes(), known.tobytes(), totals.tobytes())], SEQUENCES_ARROW)
+
+    return attach
+
+
+def scorer(step: np.ndarray, emit: np.ndarray, ends: int, below: float, n_all: int):
+    """Scores of documents given as classes; ``emit`` is log10 of a class's size, ``below`` that of all
+    tokens; ``ends`` of the ``n_all`` training tokens are ends."""
+    end = float(np.log10(ends + ADD))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, hashes, tails in documents_of(batch):
-                c = label[symbols(hashes, tails, top)]
-                rows.append((doc, held_out(doc), len(hashes) + 1, float(step[c[:-1], c[1:]].sum() - emit[c[1:]].sum())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for row in batch.to_pylist():
+                lengths, known, totals = numbers(row, "lengths", np.int64), numbers(row, "known", np.int64), numbers(row, "totals", np.float64)
+                line, doc = with_ends(numbers(row, "classes", np.uint8), lengths, len(step) - 1)
+                local = np.bincount(doc, step[line[:-1], line[1:]] - emit[line[1:]], len(lengths))
+                n = lengths + 1
+                all_scores = local + totals
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row["ids"], pa.int64()), pa.array(~trained(row)), pa.array(n), pa.array(known + (ends > 0)), pa.array(np.full(len(n), n_all, np.int64)),
+                    pa.array(totals + end - n * below), pa.array(all_scores), pa.array(10.0 ** (-all_scores / n)),
+                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     return score
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits per token's
-    perplexity of every document. Null texts are empty: one token, the end. Ids must be unique.
-    Without training documents every count is 0."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity per token
+    of every row, repeated rows and rows without an id too; the latter are trained on. Null texts are
+    empty: one token, the end. Without training documents every count is 0."""
     spark: SparkSession = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", "text")
-    buckets = max(2, partitions(spark) // 3)
-    sums = store(
-        docs.mapInArrow(word_emitter(buckets), WORDS).repartition(buckets, "bucket").mapInArrow(count_bucket, SUMS), "lm-sums"
-    )
-    frequent = sums.where(F.col("kind") == WORD).orderBy(F.desc("total"), "id").limit(TOP + 1).collect()
-    end_count = next((r.total for r in frequent if r.id == int(END.view(np.int64))), 0.0)
-    if not end_count:
-        end_count = sums.where((F.col("kind") == WORD) & (F.col("id") == int(END.view(np.int64)))).agg(F.sum("total")).first()[0] or 0.0
-    words = sorted(((r.id & 0xFFFFFFFFFFFFFFFF, r.known, r.total) for r in frequent if r.id != int(END.view(np.int64))))
-    top = np.array([w[0] for w in words], np.uint64)
-    by_tail = {r.id: (r.distinct, r.tokens) for r in sums.where(F.col("kind") == TAIL).groupBy("id").agg(F.sum("known").alias("distinct"), F.sum("total").alias("tokens")).collect()}
-    n_all = sum(t for _, t in by_tail.values()) + end_count
-    v_all = sum(d for d, _ in by_tail.values()) + (end_count > 0)
-    size = len(top) + TAILS + 1
-    bigrams = np.zeros(size * size, np.int64)
-    for r in docs.mapInArrow(bigram_counter(top), "bigram long, times long").groupBy("bigram").agg(F.sum("times").alias("times")).collect():
-        bigrams[r.bigram] = r.times
-    bigrams = bigrams.reshape(size, size)
-    label = exchange_clusters(bigrams)
-    k = int(label.max()) + 1
-    onehot = np.eye(k)[label]
-    between = onehot.T @ bigrams @ onehot
-    step = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * k))
-    distinct = np.array([*[1] * len(top), *[by_tail.get(t, (0, 0))[0] - sum(w[1] == t for w in words) for t in range(TAILS)], 0], np.float64)
-    tokens = bigrams.sum(0)
-    emit = np.log10(onehot.T @ tokens + ADD * (onehot.T @ distinct + 1))
-    emit[label[-1]] = np.log10(end_count + ADD)  # the end is the only word of its class
-    local = docs.mapInArrow(scorer(top, label, step, emit), "doc_id long, held_out boolean, n_tokens long, local double")
-    parts = (
-        sums.where(F.col("kind") == DOC).select("id", "sums").repartition(partitions(spark), "id")
-        .mapInArrow(add_sums, "doc_id long, n_known long, total double")
-    )
-    below = float(np.log10(n_all + ADD * (v_all + 1)))
-    score = F.col("local") + F.col("total")
-    return local.join(parts, "doc_id").select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("total") - F.col("n_tokens") * F.lit(below)).alias("base_score"), score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
-    )
+    with batches_of(spark, 1000):
+        gathered = store(docs.select("doc_id", "text").mapInArrow(gather, GATHERED), "lm-gathered")
+    # a row is a whole gathering from here on
+    with batches_of(spark, 4):
+        entries = gathered.agg(F.sum("n_words")).first()[0] or 0
+        buckets = max(partitions(spark), -(-entries // BUCKET))
+        counted = store(gathered.mapInArrow(sender(buckets), SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count_buckets, COUNTED), "lm-counted")
+        best = counted.where("hash is not null").orderBy(F.desc("count"), "hash").limit(SEEDS).collect()
+        seeds = np.sort(np.array([r.hash & 0xFFFFFFFFFFFFFFFF for r in best], np.uint64))
+        tokens, distinct = counted.where("hash is null").agg(F.sum("count"), F.sum("distinct")).first()
+        size = len(seeds) + TAILS + 1
+
+        def seed_line(row: dict) -> np.ndarray:
+            return symbols(numbers(row, "hashes", np.uint64), numbers(row, "tails", np.uint8), seeds)[numbers(row, "tokens", np.uint32)]
+
+        bigrams = bigrams_of(gathered, size, seed_line)
+        label = exchange_clusters(bigrams, int(np.clip(round((distinct or 0) ** (1 / 3)), CLASSES, MOST_CLASSES)))
+        k = int(label.max())
+        onehot = np.eye(k + 1)[label]
+        fit = fit_of_classes(onehot.T @ bigrams @ onehot)
+        classed = store(
+            gathered.mapInArrow(sender(buckets, seeds, label), SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(class_giver(seeds, label, fit), CLASSED), "lm-classed",
+        )
+        by_tail = np.zeros((TAILS, k + 1), np.int64)
+        for r in classed.where("kind = 2").select("counts").toLocalIterator():
+            by_tail += np.frombuffer(r.counts, np.int64).reshape(by_tail.shape)
+        words = classed.where("kind = 0").withColumns({x: F.lit(None).cast(t) for x, t in (("ids", "array<bigint>"), *((y, "binary") for y in ("lengths", "tokens", "hashes", "tails")))})
+        whole = gathered.withColumns({"kind": F.lit(1), "bucket": F.lit(None).cast("int"), "counts": F.lit(None).cast("binary"), "classes": F.lit(None).cast("binary")}).drop("n_words")
+        both = words.unionByName(whole).repartition(partitions(spark), "gathering").sortWithinPartitions("gathering", "kind")
+        lines = store(both.mapInArrow(attacher(buckets, by_tail.argmax(1)), SEQUENCES), "lm-sequences")
+        between = bigrams_of(lines, k + 1, lambda row: numbers(row, "classes", np.uint8)).astype(np.float64)
+        step = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * (k + 1)))
+        emit = np.log10(between.sum(0) + ADD * (by_tail.sum(0) + 1))
+        emit[k] = 0.0  # the end is the only word of its class
+        ends = int(between[:, k].sum())
+        n_all, v_all = (tokens or 0) + ends, (distinct or 0) + (ends > 0)
+        below = float(np.log10(n_all + ADD * (v_all + 1)))
+        schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+        return store(lines.mapInArrow(scorer(step, emit, ends, below, n_all), schema), "lm-scores")
 
 
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
