@@ -2,9 +2,11 @@
 
 * Lexicon: words and stems (starts of words) that occur in toxic training texts far more often than
   in clean ones. It is learned from at most ``SAMPLE`` labelled texts, chosen by a hash of their id.
+  Every term of two letters and more that passes the test of evidence is kept.
 * Matching: a Levenshtein automaton runs along the lexicon's trie; a trie node that no spelling
-  within the distance can reach ends its branch. Words of five ASCII letters and more match within
-  one edit; other words, and stems at the start of a word, match as they are.
+  within the distance can reach ends its branch. An edit adds, takes away or replaces a letter (code
+  point), or swaps two neighbours. Terms of five letters and more match within one edit, of nine and
+  more within two, shorter ones as they are; a stem matches the start of a word.
 * Context: each hit looks at the bytes around it. Hits between quotation marks or after a verb of
   speech count as quoted; a word of address nearby makes a hit more likely abuse.
 * Score: logistic regression over the hits of the whole text, fitted on the same sample.
@@ -29,10 +31,8 @@ from airsense.sources.stored import store
 
 #: Labelled texts from which lexicon and weights are learned, at most.
 SAMPLE = 20_000
-#: Candidate terms that are counted in clean texts, and terms kept, at most: the most frequent.
-CANDIDATES, TERMS = 30_000, 300
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
-LEAST_ODDS = 2.0
+LEAST_TEXTS, LEAST_ODDS = 3, 2.0
 THRESHOLD = 0.3
 WINDOW = 60
 # Verbs of speech and words of address in the languages of the texts.
@@ -45,119 +45,146 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+def edits_of(term: str) -> int:
+    """Edits that a term of so many letters may differ by."""
+    return (len(term) >= 5) + (len(term) >= 9)
+
+
 class Trie:
-    """Whole words of a lexicon; ``find`` gives the best (term, distance) for a word."""
+    """Words and stems of a lexicon; ``find`` gives the best (term, distance) for a word."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.terms = terms
         self.next: list[dict[str, int]] = [{}]
-        self.word: list[int] = [-1]
-        for k, (text, is_stem, _) in enumerate(terms):
-            node = 0
-            for letter in () if is_stem else text:
+        #: Terms that end at a node, and the most edits of the terms at and below it.
+        self.ends: list[list[int]] = [[]]
+        self.reach: list[int] = [0]
+        self.longest = max((len(t[0]) for t in terms), default=0)
+        for k, (text, _, _) in enumerate(terms):
+            node, edits = 0, edits_of(text)
+            self.reach[0] = max(self.reach[0], edits)
+            for letter in text:
                 if letter not in self.next[node]:
                     self.next[node][letter] = len(self.next)
                     self.next.append({})
-                    self.word.append(-1)
+                    self.ends.append([])
+                    self.reach.append(0)
                 node = self.next[node][letter]
+                self.reach[node] = max(self.reach[node], edits)
             if node:
-                self.word[node] = k
+                self.ends[node].append(k)
 
-    def find(self, word: str, most: int = 1) -> tuple[int, int] | None:
+    def find(self, word: str) -> tuple[int, int] | None:
         """Walks trie and automaton together. A state of the automaton is the row of edit distances
-        between the node's path and every start of ``word``."""
+        between the node's path and every start of ``word``, with the row and letter before it, since
+        two neighbouring letters in wrong order are one edit. A stem's distance is that of the nearest
+        start. Of several terms the one with the highest weight less 1.5 an edit is taken."""
+        # a longer word is beyond the distance of every whole word, and a stem sees no more of it
+        word = word[: self.longest + self.reach[0] + 1]
         n = len(word)
         best: tuple[float, int, int] | None = None
-        todo = [(0, 0, tuple(range(n + 1)))]
+        todo = [(0, 0, tuple(range(n + 1)), None, "")]
         while todo:
-            node, depth, row = todo.pop()
-            k = self.word[node]
-            if k >= 0 and row[n] <= (most if depth >= 5 and self.terms[k][0].isascii() else 0):
-                best = max(best or (0.0, 0, 0), (self.terms[k][2] - 1.5 * row[n], k, row[n]))
+            node, depth, row, before, last = todo.pop()
+            for k in self.ends[node]:
+                text, is_stem, weight = self.terms[k]
+                distance = min(row) if is_stem else row[n]
+                if distance <= edits_of(text):
+                    found = (weight - 1.5 * distance, k, distance)
+                    best = found if best is None else max(best, found)
             for letter, child in self.next[node].items():
                 # distances outside the band around the diagonal are beyond ``most``
+                most = self.reach[child]
                 new = [most + 1] * (n + 1)
                 new[0] = row[0] + 1
                 for i in range(max(1, depth + 1 - most), min(n, depth + 1 + most) + 1):
                     new[i] = min(row[i] + 1, new[i - 1] + 1, row[i - 1] + (word[i - 1] != letter))
+                    if before and i > 1 and letter == word[i - 2] and last == word[i - 1]:
+                        new[i] = min(new[i], before[i - 2] + 1)
                 if min(new) <= most:
-                    todo.append((child, depth + 1, tuple(new)))
+                    todo.append((child, depth + 1, tuple(new), row, letter))
         return (best[1], best[2]) if best and best[0] > 0 else None
 
 
+def letter_bits(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where the code points of UTF-8 bytes start, and one of 64 bits for each."""
+    places = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(places):
+        return places, np.zeros(0, np.uint64)
+    return places, np.uint64(1) << (np.add.reduceat(data.astype(np.uint64), places) & np.uint64(63))
+
+
 class Scanner:
-    """Hits of a lexicon in batches of texts. Stems are found by the hash of a word's start. For
-    whole words, an edit leaves either the first two or the last two bytes as they are, changes the
-    length by one at most, and adds and takes away one letter at most; byte tables and letter masks
-    thus choose the few words that the automaton sees."""
+    """Hits of a lexicon in batches of texts. Each different word is looked at once. The automaton
+    sees those whose number of letters and whose letters can be those of a term: an edit changes the
+    number by one at most and adds and takes away one letter at most."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.trie = Trie(terms)
         self.weight = np.array([t[2] for t in terms])
-        self.stem_start = np.zeros(65536, bool)
-        self.start = np.zeros((65536, 64), bool)
-        self.end = np.zeros((65536, 64), bool)
-        self.stems: dict[int, dict[int, int]] = {}
-        words = []
-        for k, (text, is_stem, _) in enumerate(terms):
-            raw = np.frombuffer(text.encode(), np.uint8)
-            n = len(raw)
-            if n < 2 or n > 58:
-                continue
-            first, last = int(raw[0]) * 256 + int(raw[1]), int(raw[-2]) * 256 + int(raw[-1])
-            if is_stem:
-                self.stem_start[first] = True
-                self.stems.setdefault(n, {})[int(span_hashes(raw, np.array([0]), np.array([n]))[0])] = k
-            else:
-                # only words of five ASCII letters and more may differ; others have to match
-                edits = int(len(text) >= 5 and n == len(text))
-                near = slice(n - edits, n + edits + 1)
-                self.start[first, near] = self.end[last, near] = True
-                words.append((n, edits, np.bitwise_or.reduce(np.uint64(1) << (raw & 63).astype(np.uint64))))
-        self.words = words
-        self.known: dict[int, tuple[int, int] | None] = {}
+        self.words: list[tuple[int, int, bool, np.uint64]] = []
+        for text, is_stem, _ in terms:
+            _, bits = letter_bits(np.frombuffer(text.encode(), np.uint8))
+            if len(bits):
+                self.words.append((len(bits), edits_of(text), is_stem, np.bitwise_or.reduce(bits)))
+        #: Hashes of words already looked at, sorted, and the term and distance of each, or -1.
+        self.seen = np.zeros(0, np.uint64)
+        self.found = np.zeros((0, 2), np.int64)
 
     def near_words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of some words, those that may be within one edit of a term."""
+        """Of some words, those that may be within the distance of a term."""
+        out = np.zeros(len(starts), bool)
         if not len(starts):
-            return np.zeros(0, bool)
+            return out
         size = ends - starts
-        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        mask = np.bitwise_or.reduceat(np.uint64(1) << (data[at] & 63).astype(np.uint64), np.cumsum(size) - size)
-        out = np.zeros(len(starts), bool)
-        for n, edits, letters in self.words:
-            out |= (np.abs(size - n) <= edits) & (np.bitwise_count(mask ^ letters) <= 2 * edits)
+        word_at = np.cumsum(size) - size
+        at = np.repeat(starts - word_at, size) + np.arange(int(size.sum()))
+        places, bits = letter_bits(data[at])
+        first = np.searchsorted(places, word_at)
+        letters = np.diff(np.append(first, len(places)))
+        # each word starts with a code point, so that no group of reduceat is empty
+        mask = np.bitwise_or.reduceat(bits, first)
+        place = np.arange(len(places)) - np.repeat(first, letters)
+        starts_of: dict[int, np.ndarray] = {}
+        for n, edits, is_stem, own in self.words:
+            if is_stem:
+                if n + edits not in starts_of:
+                    starts_of[n + edits] = np.bitwise_or.reduceat(np.where(place < n + edits, bits, np.uint64(0)), first)
+                out |= (letters >= n - edits) & (np.bitwise_count(own & ~starts_of[n + edits]) <= edits)
+            else:
+                out |= (np.abs(letters - n) <= edits) & (np.bitwise_count(mask ^ own) <= 2 * edits)
         return out
 
+    def look_at(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
+        """Adds different new words to those seen."""
+        found = np.full((len(hashes), 2), -1, np.int64)
+        for i in np.flatnonzero(self.near_words(data, starts, ends)).tolist():
+            hit = self.trie.find(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace"))
+            if hit is not None:
+                found[i] = hit
+        if len(self.seen) > 1_000_000:
+            self.seen, self.found = self.seen[:0], self.found[:0]
+        every = np.concatenate((self.seen, hashes))
+        order = np.argsort(every, kind="stable")
+        self.seen, self.found = every[order], np.concatenate((self.found, found))[order]
+
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]], np.ndarray]:
         """(words per row, [(start, end, term, distance)], bounds of rows in that list)."""
         starts, ends = word_spans(data, offsets, ALNUM)
         bounds = row_words(offsets, starts)
-        size = ends - starts
-        length = np.minimum(size, 63)
-        two = np.minimum(starts + 1, max(0, len(data) - 1))
-        first = data[starts].astype(np.int64) * 256 + data[two] if len(starts) else np.zeros(0, np.int64)
-        last = data[np.maximum(ends - 2, 0)].astype(np.int64) * 256 + data[ends - 1] if len(starts) else first
-        found: dict[int, tuple[int, int]] = {}
-        maybe = np.flatnonzero((self.start[first, length] | self.end[last, length]) & (length > 1))
-        maybe = maybe[self.near_words(data, starts[maybe], ends[maybe])]
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        for i, h in zip(maybe.tolist(), span_hashes(data, starts[maybe], ends[maybe]).tolist(), strict=True):
-            if h not in self.known:
-                self.known[h] = self.trie.find(data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")[:64])
-            if (hit := self.known[h]) is not None:
-                found[i] = hit
-        maybe = np.flatnonzero(self.stem_start[first] & (length > 1))
-        for n, stems in self.stems.items():
-            some = maybe[size[maybe] >= n]
-            hashes = span_hashes(data, starts[some], starts[some] + n)
-            for i in np.flatnonzero(np.isin(hashes, np.fromiter(stems, np.uint64, len(stems)))):
-                k, word = stems[int(hashes[i])], int(some[i])
-                if word not in found or self.weight[found[word][0]] - 1.5 * found[word][1] < self.weight[k]:
-                    found[word] = (k, 0)
-        out = [(int(starts[i]), int(ends[i]), *found[i]) for i in sorted(found)]
-        return np.diff(bounds), out, np.searchsorted(np.array([f[0] for f in out], np.int64), offsets)
+        words, first, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.seen):
+            new = self.seen[np.minimum(np.searchsorted(self.seen, words), len(self.seen) - 1)] != words
+        else:
+            new = np.ones(len(words), bool)
+        if len(self.seen) > 1_000_000:
+            new[:] = True
+        some = first[new]
+        self.look_at(data, starts[some], ends[some], words[new])
+        found = self.found[np.searchsorted(self.seen, words)][back] if len(words) else np.zeros((0, 2), np.int64)
+        at = np.flatnonzero(found[:, 0] >= 0)
+        out = list(zip(starts[at].tolist(), ends[at].tolist(), found[at, 0].tolist(), found[at, 1].tolist(), strict=True))
+        return np.diff(bounds), out, np.searchsorted(starts[at], offsets)
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         words, found, rows = self.hits(data, offsets)
@@ -201,7 +228,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray, row: int) -> set[str]:
     out = set()
     for word in {text[a:b].tobytes() for a, b in zip(starts, ends, strict=True)}:
         word = word.decode("utf-8", "replace")
-        if 3 <= len(word) <= 40:
+        if len(word) >= 2:
             out.add(word + " ")
             out.update(word[:n] for n in STEM_LENGTHS if n <= len(word))
     return out
@@ -232,10 +259,9 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
     if not n_toxic:
         return []
     schema = "toxic int, term string, n long"
-    least = max(3, n_toxic // 300)
     often = (
         sample.where("toxic = 1").mapInArrow(count_terms(None), schema).groupBy("term").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(CANDIDATES)
+        .where(F.col("n") >= LEAST_TEXTS)
     )
     toxic = {r.term: r.n for r in often.collect()}
     clean = {
@@ -275,19 +301,24 @@ def learn_lexicon(sample: DataFrame) -> list[tuple[str, bool, float]]:
             terms[(word[:-1], False)] = odds[word]
         else:
             terms[(t, True)] = w
-    ranked = [(text, stem, weight) for (text, stem), weight in sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:TERMS]]
+    ranked = [(text, stem, weight) for (text, stem), weight in sorted(terms.items(), key=lambda x: (-x[1], x[0]))]
     held = [set(r.terms) for r in sample.where("toxic = 1").mapInArrow(terms_found(ranked), "terms array<int>").collect()]
     return [ranked[k] for k in needed(held)]
 
 
 def terms_found(terms: list[tuple[str, bool, float]]):
+    """For each text the terms that its words are, spelt right; of several the one of highest weight."""
+    place = {text if is_stem else text + " ": k for k, (text, is_stem, _) in enumerate(terms)}
+
+    def best(word: str) -> int:
+        known = (place.get(t, -1) for t in (word + " ", *(word[:n] for n in STEM_LENGTHS if n <= len(word))))
+        return max(known, key=lambda k: (terms[k][2], k) if k >= 0 else (0.0, k))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(terms)
         for batch in batches:
             out = []
             for i, j, data, offsets in lower_pieces(batch.column("text")):
-                _, found, rows = scanner.hits(data, offsets)
-                out += [sorted({f[2] for f in found[rows[k] : rows[k + 1]] if not f[3]}) for k in range(j - i)]
+                out += [sorted({best(t[:-1]) for t in terms_of(data, offsets, k) if t.endswith(" ")} - {-1}) for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], names=["terms"])
 
     return run
@@ -338,7 +369,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool, float]], np.ndarray]:
     """Lexicon and weights from the labelled rows that are not held out, at most ``SAMPLE`` of them.
-    Rows without a label or text are not used; without toxic rows every score is low."""
+    Rows without a label or text are not used, equal texts of one label count once; without toxic
+    rows every score is low."""
     spark = docs.sparkSession
     small_batches(spark)
     use = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2
@@ -348,7 +380,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, bool, flo
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE),
         "toxicity-labels",
     )
-    sample = store(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "toxicity-sample")
+    sample = store(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("toxic", "text").distinct(), "toxicity-sample")
     terms = learn_lexicon(sample)
     schema = "toxic int, " + ", ".join(f"x{k} double" for k in range(FEATURES))
     rows = np.array([tuple(r) for r in sample.mapInArrow(feature_rows(terms), schema).collect()], np.float64).reshape(-1, FEATURES + 1)

@@ -131,7 +131,7 @@ def test_toxic_words_and_misspellings(spark):
     out = {r.doc_id: r for r in toxicity.score(docs, terms, weights).collect()}
     assert all(out[i].predicted == int(i % 4 == 0) for i in range(400)) and out[400].score == out[401].score < 0.3
     trie = toxicity.Trie([("idiot", False, 5.0), ("scum", False, 5.0)])
-    assert trie.find("idoit") is None and trie.find("idi0t") == (0, 1) and trie.find("idiots") == (0, 1) and trie.find("scam") is None
+    assert trie.find("idoit") == (0, 1) and trie.find("diiots") is None and trie.find("idi0t") == (0, 1) and trie.find("idiots") == (0, 1) and trie.find("scam") is None
 
 
 def test_decontamination_finds_other_values(spark, docs):
