@@ -47,6 +47,13 @@ ADD = 0.1
 FLUSH, BUCKET = 1_500_000, 4_000_000
 #: The class of words without a class yet.
 UNSEEN = 255
+#: Bytes of an Arrow batch, about, and rows of a Parquet batch, where a row may be a whole gathering.
+BATCH_BYTES, PARQUET_ROWS = 4 << 20, 4
+#: How tables of such rows are written: zstd works through streams, snappy takes two buffers outside the
+#: heap as large as a page, which is a whole row here; pages end with each large row.
+LARGE_ROWS = {"compression": "zstd", "parquet.page.size.row.check.min": "1"}
+#: Entries (word, class near it) that a bucket weighs at once.
+WEIGHED = 8_000
 
 GATHERED = "gathering long, n_words long, ids array<bigint>, lengths binary, tokens binary, hashes binary, tails binary"
 GATHERED_ARROW = pa.schema([("gathering", pa.int64()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int64())), *[(x, pa.binary()) for x in ("lengths", "tokens", "hashes", "tails")]])
@@ -125,11 +132,51 @@ def trained(row: dict) -> np.ndarray:
 def with_ends(values: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The documents' values in order with ``end`` before, between and after them, and for each step
     from one to the next the document it belongs to."""
-    out = np.full(len(values) + len(lengths) + 1, end, np.int64)
-    out[np.arange(len(values)) + np.repeat(np.arange(len(lengths)), lengths) + 1] = values
+    inside = inside_of(lengths)
+    out = np.full(len(inside), end, np.int64)
+    out[inside] = values
     return out, np.repeat(np.arange(len(lengths)), lengths + 1)
 
 
+def inside_of(lengths: np.ndarray) -> np.ndarray:
+    """Whether a place holds a word, in documents with an end before, between and after them."""
+    inside = np.ones(int(lengths.sum()) + len(lengths) + 1, bool)
+    inside[0] = inside[np.cumsum(lengths + 1)] = False
+    return inside
+
+
+def small_enough(values: int) -> type:
+    """The type of whole numbers up to ``values``; half the memory for nearly all gatherings and buckets."""
+    return np.uint32 if values < 1 << 32 else np.int64
+
+
+def neighbours(row: dict, own: np.ndarray, k: int, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the words' entries, the class behind a word or ``k`` + 1 more than that before it, and
+    how often, over the tokens in ``use``; ``own`` is the class of each word, ``k`` that of an end."""
+    tokens, inside = numbers(row, "tokens", np.uint32), inside_of(numbers(row, "lengths", np.int64))
+    line = np.full(len(inside), k, np.uint8)
+    line[inside] = own.astype(np.uint8)[tokens]
+    middle, width = inside[1:-1], 2 * k + 2
+    kind, n = small_enough(len(own) * width), int(use.sum())
+    pair = np.empty(2 * n, kind)
+    pair[:n] = tokens[use]
+    pair[:n] *= kind(width)
+    pair[n:] = pair[:n]
+    pair[:n] += line[2:][middle][use]
+    pair[n:] += line[:-2][middle][use]
+    pair[n:] += kind(k + 1)
+    pair.sort()
+    first = firsts(pair)
+    times = np.diff(np.append(first, len(pair))).astype(np.uint32)
+    pair = pair[first]
+    return np.searchsorted(pair, (np.arange(len(own) + 1) * width).astype(kind)), (pair % kind(width)).astype(np.uint16), times
+
+
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where a value of a sorted list comes first."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+
+
 def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order of words by bucket, the buckets in it and the bounds of their words."""
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
@@ -147,26 +194,20 @@ def sender(buckets: int, seeds: np.ndarray | None = None, label: np.ndarray | No
             for row in batch.to_pylist():
                 hashes, tails, tokens, lengths = numbers(row, "hashes", np.uint64), numbers(row, "tails", np.uint8), numbers(row, "tokens", np.uint32), numbers(row, "lengths", np.int64)
                 use = np.repeat(trained(row), lengths)
-                counts = np.bincount(tokens[use], minlength=len(hashes)).astype(np.int64)
-                bounds, near, times = np.zeros(len(hashes) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                counts = np.bincount(tokens[use], minlength=len(hashes)).astype(np.uint32)
+                near = None
                 if label is not None:
                     k = int(label.max())  # the end's class is the last
-                    line, _ = with_ends(label[symbols(hashes, tails, seeds)][tokens], lengths, k)
-                    at = np.arange(len(tokens)) + np.repeat(np.arange(len(lengths)), lengths) + 1
-                    word, at = tokens[use].astype(np.int64), at[use]
-                    pair, times = np.unique(np.concatenate((word * (2 * k + 2) + line[at + 1], word * (2 * k + 2) + k + 1 + line[at - 1])), return_counts=True)
-                    near = pair % (2 * k + 2)
-                    bounds = np.searchsorted(pair, np.arange(len(hashes) + 1) * (2 * k + 2))
+                    bounds, near, times = neighbours(row, label[symbols(hashes, tails, seeds)], k, use)
+                    n_near = np.diff(bounds)
                 order, used, cuts = by_bucket(hashes, buckets)
-                n_near = np.diff(bounds)
                 for b, low, high in zip(used, cuts[:-1], cuts[1:], strict=True):
-                    mine = order[low:high]
-                    n = n_near[mine]
-                    some = np.repeat(bounds[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    yield rows_of([(
-                        int(b), row["gathering"], hashes[mine].tobytes(), tails[mine].tobytes(), counts[mine].tobytes(),
-                        n.astype(np.uint32).tobytes(), near[some].astype(np.uint16).tobytes(), times[some].astype(np.uint32).tobytes(),
-                    )], SENT_ARROW)
+                    mine, entries = order[low:high], (b"", b"", b"")
+                    if near is not None:
+                        n = n_near[mine]
+                        some = np.repeat(bounds[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                        entries = n.astype(np.uint16).tobytes(), near[some].tobytes(), times[some].tobytes()
+                    yield rows_of([(int(b), row["gathering"], hashes[mine].tobytes(), tails[mine].tobytes(), counts[mine].tobytes(), *entries)], SENT_ARROW)
 
     return send
 
@@ -175,7 +216,7 @@ def add_up(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """(words, their last bytes, their counts, place of each row's words in them) of a bucket."""
     words, first, back = np.unique(np.concatenate([numbers(r, "hashes", np.uint64) for r in rows]), return_index=True, return_inverse=True)
     counts = np.zeros(len(words), np.int64)
-    np.add.at(counts, back, np.concatenate([numbers(r, "counts", np.int64) for r in rows]))
+    np.add.at(counts, back, np.concatenate([numbers(r, "counts", np.uint32) for r in rows]))
     return words, np.concatenate([numbers(r, "tails", np.uint8) for r in rows])[first], counts, back
 
 
@@ -283,14 +324,21 @@ def fit_of_classes(between: np.ndarray) -> np.ndarray:
 def classes_of(words: int, at: np.ndarray, near: np.ndarray, times: np.ndarray, fit: np.ndarray) -> np.ndarray:
     """The likeliest class of each word from (word, class near it, times); ties: the smaller class."""
     out = np.full(words, UNSEEN, np.uint8)
-    pair, back = np.unique(at * len(fit) + near, return_inverse=True)
-    times = np.bincount(back, times)
-    word, near = pair // len(fit), pair % len(fit)
-    first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+    kind = small_enough(words * len(fit))
+    pair = at.astype(kind)
+    pair *= kind(len(fit))
+    pair += near.astype(kind)
+    order = np.argsort(pair, kind="stable")
+    pair, times = pair[order], times[order]
+    first = firsts(pair)
+    times = np.add.reduceat(times, first, dtype=np.float64) if len(first) else np.zeros(0)
+    pair = pair[first]
+    word, near = pair // kind(len(fit)), pair % kind(len(fit))
+    first = firsts(word)
     i = 0
     while i < len(first):
-        # words with about 30,000 entries together
-        j = max(i + 1, int(np.searchsorted(first, first[i] + 30_000)))
+        # words with about ``WEIGHED`` entries together
+        j = max(i + 1, int(np.searchsorted(first, first[i] + WEIGHED)))
         low, high = int(first[i]), int(first[j]) if j < len(first) else len(word)
         value = np.add.reduceat(fit[near[low:high]] * times[low:high, None], first[i:j] - low)
         out[word[first[i:j]]] = np.argmax(value, 1)
@@ -306,8 +354,8 @@ def class_giver(seeds: np.ndarray, label: np.ndarray, fit: np.ndarray):
         table = np.zeros((TAILS, k + 1), np.int64)
         for bucket, rows in runs(batches, "bucket"):
             words, tails, counts, back = add_up(rows)
-            at = np.repeat(back, np.concatenate([numbers(r, "n_near", np.uint32) for r in rows]))
-            near, times = (np.concatenate([numbers(r, x, t) for r in rows]).astype(np.int64) for x, t in (("near", np.uint16), ("times", np.uint32)))
+            at = np.repeat(back.astype(small_enough(len(words))), np.concatenate([numbers(r, "n_near", np.uint16) for r in rows]))
+            near, times = (np.concatenate([numbers(r, x, t) for r in rows]) for x, t in (("near", np.uint16), ("times", np.uint32)))
             own = classes_of(len(words), at, near, times, fit)
             place = symbols(words, np.zeros(len(words), np.uint8), seeds)
             own = np.where((place < len(seeds)) & (counts > 0), label[np.minimum(place, len(label) - 1)], own).astype(np.uint8)
@@ -371,9 +419,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     empty: one token, the end. Without training documents every count is 0."""
     spark: SparkSession = docs.sparkSession
     with batches_of(spark, 1000):
-        gathered = store(docs.select("doc_id", "text").mapInArrow(gather, GATHERED), "lm-gathered")
-    # a row is a whole gathering from here on
-    with batches_of(spark, 4):
+        gathered = store(docs.select("doc_id", "text").mapInArrow(gather, GATHERED), "lm-gathered", **LARGE_ROWS)
+    # a row is a whole gathering from here on, or a message, of which many fit a batch
+    with batches_of(spark, 1000, BATCH_BYTES, PARQUET_ROWS):
         entries = gathered.agg(F.sum("n_words")).first()[0] or 0
         buckets = max(partitions(spark), -(-entries // BUCKET))
         counted = store(gathered.mapInArrow(sender(buckets), SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count_buckets, COUNTED), "lm-counted")
@@ -392,7 +440,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         fit = fit_of_classes(onehot.T @ bigrams @ onehot)
         classed = store(
             gathered.mapInArrow(sender(buckets, seeds, label), SENT).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(class_giver(seeds, label, fit), CLASSED), "lm-classed",
+            .mapInArrow(class_giver(seeds, label, fit), CLASSED), "lm-classed", **LARGE_ROWS,
         )
         by_tail = np.zeros((TAILS, k + 1), np.int64)
         for r in classed.where("kind = 2").select("counts").toLocalIterator():
@@ -400,7 +448,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         words = classed.where("kind = 0").withColumns({x: F.lit(None).cast(t) for x, t in (("ids", "array<bigint>"), *((y, "binary") for y in ("lengths", "tokens", "hashes", "tails")))})
         whole = gathered.withColumns({"kind": F.lit(1), "bucket": F.lit(None).cast("int"), "counts": F.lit(None).cast("binary"), "classes": F.lit(None).cast("binary")}).drop("n_words")
         both = words.unionByName(whole).repartition(partitions(spark), "gathering").sortWithinPartitions("gathering", "kind")
-        lines = store(both.mapInArrow(attacher(buckets, by_tail.argmax(1)), SEQUENCES), "lm-sequences")
+        lines = store(both.mapInArrow(attacher(buckets, by_tail.argmax(1)), SEQUENCES), "lm-sequences", **LARGE_ROWS)
         between = bigrams_of(lines, k + 1, lambda row: numbers(row, "classes", np.uint8)).astype(np.float64)
         step = np.log10((between + 0.5) / (between.sum(1, keepdims=True) + 0.5 * (k + 1)))
         emit = np.log10(between.sum(0) + ADD * (by_tail.sum(0) + 1))
